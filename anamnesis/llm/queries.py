@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import neardup
+from anamnesis.llm import leakage, neardup
 from anamnesis.sources.tables import table
 
 
@@ -25,5 +25,13 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_texts(spark, d), 0.7)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.item_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {}
