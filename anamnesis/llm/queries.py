@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import leakage, neardup
+from anamnesis.llm import leakage, neardup, runs
 from anamnesis.sources.tables import table
 
 
@@ -33,5 +33,25 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_items": p9_items}
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return runs.repeated(table(spark, d, "timeline_events"))
+
+
+def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return runs.collapsed(table(spark, d, "timeline_events"), *runs.LENIENT)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_items": p9_items}
+SQL: dict[str, str] = {
+    "p6_found": """
+        WITH e AS (
+          SELECT event_id, min(session_id) AS session_id, min(ts) AS ts, min(kind) AS kind,
+                 coalesce(min(regexp_replace(lower(tool_name), '[^\\p{L}\\p{N}]+', '', 'g')), '') AS tool
+          FROM timeline_events WHERE event_id IS NOT NULL AND session_id IS NOT NULL GROUP BY event_id),
+        n AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND kind IS NOT DISTINCT FROM lag(kind) OVER w AND tool = lag(tool) OVER w THEN 0 ELSE 1 END AS new
+              FROM e WINDOW w AS (PARTITION BY session_id ORDER BY ts NULLS FIRST, event_id)),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) AS g FROM n)
+        SELECT session_id, arg_min(event_id, (coalesce(ts, TIMESTAMP '0001-01-01'), event_id)) AS first_event_id,
+               arg_max(event_id, (coalesce(ts, TIMESTAMP '0001-01-01'), event_id)) AS last_event_id
+        FROM g GROUP BY session_id, g HAVING count(*) > 1""",
+}
