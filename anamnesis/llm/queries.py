@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import leakage, neardup, runs
+from anamnesis.llm import conversations, leakage, neardup, runs
 from anamnesis.sources.tables import table
 
 
@@ -33,6 +33,18 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.left_out(table(spark, d, "transcript_rows"))
+
+
+def p5_threads(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.linked(table(spark, d, "transcript_rows"))
+
+
+def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.usability(table(spark, d, "transcript_rows"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.repeated(table(spark, d, "timeline_events"))
 
@@ -41,7 +53,7 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapsed(table(spark, d, "timeline_events"), *runs.LENIENT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH e AS (
