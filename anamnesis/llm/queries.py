@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import conversations, leakage, neardup, runs
+from anamnesis.llm import conversations, knn, leakage, neardup, runs
 from anamnesis.sources.tables import table
 
 
@@ -17,6 +17,17 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return part("memories", "content", "memory_id").unionByName(part("file_history", "narrative", "obs_id")).unionByName(part("sessions", "summary", "session_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda n, df: df.select(F.lit(n).alias("table_name"), "key_a", "key_b")
+    images = knn.pairs(table(spark, d, "image_vectors"), "image_ref", "vector", 64)
+    sessions = knn.pairs(table(spark, d, "session_vectors"), "session_id", "embedding", 96)
+    return named("image_vectors", images).unionByName(named("session_vectors", sessions))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return knn.neighbours(table(spark, d, "embeddings").withColumn("name", F.format_string("%012d", "vec_id")), "name", "embedding", 64)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_records(_texts(spark, d), 0.7)
 
@@ -53,7 +64,7 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapsed(table(spark, d, "timeline_events"), *runs.LENIENT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH e AS (
