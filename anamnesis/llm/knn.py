@@ -3,11 +3,13 @@
 Equal vectors are collapsed first (a class keeps its k + 1 smallest keys, which is all that can ever be an answer), so
 copies cost nothing. Coarse cells and code books are fitted on at most SAMPLE vectors; every vector is indexed. The code
 books minimise the score-aware loss: the part of a residual that is parallel to its vector counts ETA times as much as
-the rest, because it is what moves inner products of close pairs. A query is compared with the codes of its PROBES
-nearest cells: per cell and query the 16-entry tables of all subspaces are summed, which for a block of queries is one
-matrix product with the decoded tables, and the best RERANK codes are scored again with the vectors themselves.
+the rest, because it is what moves inner products of close pairs. A query looks into every cell whose centre is nearly
+as similar as the nearest one, so a vector between clusters looks into more of them. Per cell and query the 16-entry
+tables of all subspaces are summed, which for a block of queries is one matrix product with the decoded tables, and
+the best RERANK codes are scored again with the vectors themselves.
 
-Cells of any size are cut into blocks of at most BLOCK vectors and BLOCK queries, and the blocks are spread over tasks.
+Neighbouring cells form groups of about BLOCK vectors, and a query is sent once to each group it looks into. Groups,
+cells of any size included, are cut into blocks of about BLOCK vectors and BLOCK queries that are spread over tasks.
 
 Defined results: rows without key or vector, of another length, with missing or non-finite numbers, or all zero are
 left out; of several rows of one key the smallest vector counts; similarities are rounded to 6 places and equal ones go
@@ -25,9 +27,9 @@ from anamnesis.plans.scratch import written
 
 SAMPLE = 20_000  #: vectors the index is fitted on
 CELLS = 4096  #: most cells; otherwise the square root of the number of vectors
-PROBES = 32  #: cells a query looks into; with fewer cells, all
-RERANK = 48  #: codes of a cell that are scored exactly for a query
-BLOCK = 4096  #: vectors, and queries, that one group of a task holds
+MARGIN, LEAST = 0.4, 24  #: a query looks into cells within this similarity of the nearest one, and into so many at least
+RERANK = 64  #: codes of a block that are scored exactly for a query
+BLOCK = 16_384  #: vectors, and queries, that one group of a task holds
 T = 0.2  #: similarity above which scores matter, see eta()
 
 
@@ -121,16 +123,36 @@ class Quantiser:
         code = self._encode(x - self.cells[cell], x).astype(np.uint8)
         return cell, code[:, 0::2] | (code[:, 1::2] << 4)
 
-    def table(self, cell: int, packed: np.ndarray) -> np.ndarray:
-        """What the codes of a cell stand for: a query's inner products with these rows are its summed tables."""
+    def table(self, cell: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """What codes stand for in their cells: a query's inner products with these rows are its summed tables."""
         code = np.empty((len(packed), self.dim // 2), np.int64)
         code[:, 0::2], code[:, 1::2] = packed & 15, packed >> 4
         return self.cells[cell] + self._decode(code)
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
+    def grouped(self, sizes: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """A group for each cell: the cells are halved along their main direction until a half has few enough vectors."""
+        group, nxt, todo = np.zeros(len(self.cells), np.int64), 0, [np.arange(len(self.cells))]
+        while todo:
+            c = todo.pop()
+            if len(c) == 1 or sizes[c].sum() <= block:
+                group[c] = nxt
+                nxt += 1
+                continue
+            x = self.cells[c] - self.cells[c].mean(0)
+            o = c[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+            k = int(np.clip(np.searchsorted(np.cumsum(sizes[o]), sizes[o].sum() / 2), 1, len(o) - 1))
+            todo += [o[:k], o[k:]]
+        return group
+
+    def probes(self, x: np.ndarray, margin: float = MARGIN, least: int = LEAST) -> np.ndarray:
+        """Which cells (columns) each vector looks into."""
         s = x @ self.cells.T
-        n = min(n, s.shape[1])
-        return np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
+        out = s >= s.max(1, keepdims=True) - margin
+        if least < s.shape[1]:
+            np.put_along_axis(out, np.argpartition(-s, least - 1, axis=1)[:, :least], True, 1)
+        else:
+            out[:] = True
+        return out
 
 
 def _unit(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +168,7 @@ def valid(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & v.isNotNull() & ok).groupBy(F.col(key).alias("key")).agg(F.min(v).alias("vector"))
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5, probes: int = PROBES) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5, margin: float = MARGIN) -> DataFrame:
     """(key, neighbour, similarity, place): the k nearest others of every key."""
     spark = vectors.sparkSession
     rows = valid(vectors, key, vector, dim).withColumn("id", F.xxhash64("vector"))
@@ -174,43 +196,69 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
             if len(b):
                 x, u = _unit(b["vec"], dim)
                 cell, packed = q.index(u)
-                yield pd.DataFrame({"id": b["id"], "first_key": [y[0] for y in b["keys"]], "vec": b["vec"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in packed], "probe": list(q.probes(u, probes).astype(np.int32))})
-
-    coded = written(kept.mapInPandas(encode, "id long, first_key string, vec binary, cell int, codes binary, probe array<int>"), "knn-codes")
-    asked = coded.select("id", "vec", F.explode("probe").alias("cell"))
-    sizes = coded.groupBy("cell").count().toPandas().set_index("cell")["count"]  # one row a cell, CELLS at most
-    asks = asked.groupBy("cell").count().toPandas().set_index("cell")["count"]
-    blocks = np.ones((len(fitted.cells), 2), np.int64)
-    blocks[sizes.index, 0] = -(-sizes.to_numpy() // BLOCK)
-    blocks[asks.index, 1] = -(-asks.to_numpy() // BLOCK)
-    nd, nq = (F.element_at(F.array(*map(F.lit, map(int, blocks[:, j]))), F.col("cell") + 1) for j in (0, 1))
+                yield pd.DataFrame({"id": b["id"], "first_key": [y[0] for y in b["keys"]], "vec": b["vec"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in packed]})
+
+    coded = written(kept.mapInPandas(encode, "id long, first_key string, vec binary, cell int, codes binary"), "knn-codes")
+    sizes = np.zeros(len(fitted.cells), np.int64)
+    for r in coded.groupBy("cell").count().collect():  # one row a cell, CELLS at most
+        sizes[r["cell"]] = r["count"]
+    groups = fitted.grouped(sizes)
+
+    def ask(batches):
+        fit = shared.value
+        for b in batches:
+            if len(b):
+                look = fit.probes(_unit(b["vec"], dim)[1], margin)
+                for g in range(groups.max() + 1):
+                    mine = np.flatnonzero(groups == g)
+                    part = look[:, mine]
+                    rows = np.flatnonzero(part.any(1))
+                    if len(rows):
+                        yield pd.DataFrame({"id": b["id"].to_numpy()[rows], "vec": b["vec"].to_numpy()[rows], "grp": np.int32(g), "codes": [mine[x].astype(np.uint16).tobytes() for x in part[rows]]})
+
+    asked = coded.select("id", "vec").mapInPandas(ask, "id long, vec binary, grp int, codes binary")
+    held = np.bincount(groups, sizes)
+    nd = F.element_at(F.array(*(F.lit(int(-(-h // BLOCK)) or 1) for h in held)), F.col("grp") + 1)
+    nq = max(1, -(-n // BLOCK))  # no group is asked by more than all
+    grp = F.element_at(F.array(*map(F.lit, map(int, groups))), F.col("cell") + 1)
     upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
     mine = lambda c: F.pmod(F.shiftright("id", 7), c).cast("int")
-    data = coded.select("cell", mine(nd).alias("d"), upto(nq).alias("q"), F.lit(0).alias("role"), "id", "first_key", "vec", "codes")
-    query = asked.select("cell", upto(nd).alias("d"), mine(nq).alias("q"), F.lit(1).alias("role"), "id", F.lit(None).cast("string").alias("first_key"), "vec", F.lit(None).cast("binary").alias("codes"))
+    data = coded.select(grp.alias("grp"), "cell", "id", "first_key", "vec", "codes").select("grp", mine(nd).alias("d"), upto(F.lit(nq)).alias("q"), "cell", "id", "first_key", "vec", "codes")
+    query = asked.select("grp", upto(nd).alias("d"), mine(F.lit(nq)).alias("q"), F.lit(-1).alias("cell"), "id", F.lit(None).cast("string").alias("first_key"), "vec", "codes")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         fit = shared.value
-        d, q = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        d, q = pdf[pdf["cell"] >= 0], pdf[pdf["cell"] < 0]
         out = {"id": [], "other": [], "similarity": [], "first_key": []}
         if len(d) and len(q):
             d = d.sort_values("first_key")  # places in d then stand for keys in every tie
             dv, du = _unit(d["vec"], dim)
             qv, qu = _unit(q["vec"], dim)
             packed = np.frombuffer(b"".join(d["codes"]), np.uint8).reshape(len(d), -1)
-            table = fit.table(int(pdf["cell"].iloc[0]), packed).T.copy()
+            cell = d["cell"].to_numpy()
+            table = fit.table(cell, packed).T.copy()
+            look = np.zeros((len(q), len(fit.cells)), bool)
+            lists = [np.frombuffer(c, np.uint16) for c in q["codes"]]
+            look[np.repeat(np.arange(len(q)), [len(x) for x in lists]), np.concatenate(lists)] = True
+            by = np.argsort(cell, kind="stable")
+            cells, starts = np.unique(cell[by], return_index=True)
+            spans = list(zip(cells, starts, [*starts[1:], len(by)]))
             d64 = dv.astype(np.float64)
             d64 /= np.linalg.norm(d64, axis=1, keepdims=True)
             ids, dids, keys = q["id"].to_numpy(), d["id"].to_numpy(), d["first_key"].to_numpy()
             top = min(RERANK, len(d))
             for s in range(0, len(q), 512):
-                scores = qu[s : s + 512] @ table
+                scores = np.full((len(qu[s : s + 512]), len(d)), -9, np.float32)
+                for c, lo, hi in spans:
+                    rows_ = np.flatnonzero(look[s : s + 512, c])
+                    if len(rows_):
+                        scores[rows_[:, None], by[lo:hi]] = qu[s + rows_] @ table[:, by[lo:hi]]
                 cand = np.argpartition(-scores, top - 1, axis=1)[:, :top] if top < len(d) else np.tile(np.arange(len(d)), (len(scores), 1))
                 cand.sort(axis=1)
                 x = qv[s : s + 512].astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 sim = np.round(np.einsum("qd,qcd->qc", x, d64[cand]), 6)
-                sim[dids[cand] == ids[s : s + 512, None]] = -9
+                sim[(dids[cand] == ids[s : s + 512, None]) | (np.take_along_axis(scores, cand, 1) <= -9)] = -9
                 best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
                 sims = np.take_along_axis(sim, best, 1)
                 row, col = np.nonzero(sims > -5)
@@ -222,7 +270,7 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
         empty = {"id": np.int64, "other": np.int64, "similarity": np.float64, "first_key": object}
         return pd.DataFrame({c: np.concatenate(v) if v else np.array([], empty[c]) for c, v in out.items()})
 
-    hits = data.unionByName(query).groupBy("cell", "d", "q").applyInPandas(scan, "id long, other long, similarity double, first_key string")
+    hits = data.unionByName(query).groupBy("grp", "d", "q").applyInPandas(scan, "id long, other long, similarity double, first_key string")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "first_key")
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
     # per class: its own keys at similarity 1 and those of its k nearest classes
