@@ -150,7 +150,10 @@ def run(
     ddl = lambda names: ", ".join(f"`{n}` {given[n].dataType.simpleString()}" for n in names)
     rows = spark.readStream.schema(given).option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream.schema(given).option("maxBytesPerTrigger", bytes_per_batch)
     time = F.col(event_time) if given[event_time].dataType.simpleString() == "timestamp" else F.col(event_time).try_cast("timestamp")
-    narrow = rows.parquet(source).select(*keys, time.alias("event_time"), F.struct(*order, *keys, *rest).alias("row"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    # a stream's base path must be a folder; a pattern that matches the one file has none
+    narrow = rows.parquet(f"{source[:-1]}[{source[-1]}]" if single else source).select(*keys, time.alias("event_time"), F.struct(*order, *keys, *rest).alias("row"))
     store = SeenStore(spark, path, keys, ddl(keys), delay)
     query = narrow.writeStream.foreachBatch(lambda df, n: store.step(df, n)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
