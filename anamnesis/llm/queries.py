@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import conversations, knn, leakage, neardup, runs
+from anamnesis.llm import conversations, knn, leakage, neardup, packing, runs
 from anamnesis.sources.tables import table
 
 
@@ -36,6 +36,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_texts(spark, d), 0.7)
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(packing.token_counts(table(spark, d, "documents")), table(spark, d, "context_windows"))
+
+
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(packing.token_counts(table(spark, d, "documents")), table(spark, d, "context_windows"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -64,7 +72,7 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapsed(table(spark, d, "timeline_events"), *runs.LENIENT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH e AS (
