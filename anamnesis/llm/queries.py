@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import conversations, knn, leakage, neardup, packing, runs
+from anamnesis.llm import conversations, knn, leakage, neardup, packing, runs, spam
 from anamnesis.sources.tables import table
 
 
@@ -72,7 +72,15 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapsed(table(spark, d, "timeline_events"), *runs.LENIENT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.flagged(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.scored(table(spark, d, "documents")).select("doc_id", "n_words", F.round("list_share", 6).alias("list_share"), F.round("stitched", 6).alias("stitched"), "spam")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_scores": p10_scores}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH e AS (
