@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import conversations, knn, leakage, neardup, packing, runs, spam
+from anamnesis.llm import conversations, knn, leakage, neardup, packing, runs, spam, truncation
 from anamnesis.sources.tables import table
 
 
@@ -17,6 +17,23 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return part("memories", "content", "memory_id").unionByName(part("file_history", "narrative", "obs_id")).unionByName(part("sessions", "summary", "session_id"))
 
 
+def _authored(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of problem 1; an event's source is the agent of its session."""
+    obs, events = table(spark, d, "raw_observations"), table(spark, d, "timeline_events")
+    agents = table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.min("agent_id").alias("agent_id"))
+    events = events.select("event_id", "session_id", "body").where("body is not null").join(agents, "session_id", "left")
+    agent = F.col("agent_id")
+    return truncation.values([(obs, "obs_id", "user_prompt", agent), (obs, "obs_id", "assistant_response", agent), (events, "event_id", "body", agent)])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut(_authored(spark, d))
+
+
+def p1_by_agent(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(_authored(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     named = lambda n, df: df.select(F.lit(n).alias("table_name"), "key_a", "key_b")
     images = knn.pairs(table(spark, d, "image_vectors"), "image_ref", "vector", 64)
@@ -80,7 +97,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents")).select("doc_id", "n_words", F.round("list_share", 6).alias("list_share"), F.round("stitched", 6).alias("stitched"), "spam")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_by_agent": p1_by_agent, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_scores": p10_scores}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH e AS (
