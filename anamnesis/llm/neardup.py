@@ -16,7 +16,7 @@ What keeps it linear in rows and bounded in every task:
 * the postings of a frequent word are cut into blocks and the block pairs are spread over tasks.
 
 Defined results: null and blank texts, and texts without any letter or digit, are left out; several rows of one id
-count as one record (its smallest text); an empty table gives no rows; other columns are ignored.
+count as one record (the one whose set has the smallest hash); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from anamnesis.plans.scratch import cores, written
 
-SKETCH_BITS = 18
-SKETCH = 1 << SKETCH_BITS  #: counters of the sketch; 1 MB however large the corpus
+SKETCH_BITS = 21
+SKETCH = 1 << SKETCH_BITS  #: counters of the sketch; 8 MB however large the corpus
 BLOCK = 4096  #: postings of one word in one block of a block pair
 FRAGMENTS = 16  #: pieces of the global order
 
@@ -42,37 +42,30 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
 
 
-def classes(records: DataFrame, field: str = "field_name", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Membership (field, id, class_id) and one row per distinct word set (field, class_id, hashes).
+def classes(records: DataFrame, field: str = "field_name", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Membership (field, id, class_id), one row per distinct word set (class_id, hashes), and how often words are used.
 
-    class_id is a 64-bit hash of field and word set; the words themselves are 64-bit hashes from here on.
+    Words are 64-bit hashes of field and word from here on, and class_id is a hash of the set, so sets of different
+    fields have no word in common.
     """
-    r = (
-        records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text"))
-        .where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
-        .groupBy("field", "id")
-        .agg(F.min("text").alias("text"))
-    )
-    hashed = F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    r = r.select("field", "id", hashed.alias("hashes")).select("field", "id", F.xxhash64("field", "hashes").alias("class_id"), "hashes")
-    r = written(r, "neardup-records")
-    return r.select("field", "id", "class_id"), r.groupBy("field", "class_id").agg(F.first("hashes").alias("hashes"))
+    r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
+    r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
+    members = r.groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
+    return members, r.groupBy("class_id").agg(F.first("hashes").alias("hashes")), word_counts(r)
 
 
-def word_counts(sets: DataFrame) -> np.ndarray:
-    """How many word sets have a word, in SKETCH counters: a word's counter never falls short of its count."""
+def word_counts(rows: DataFrame) -> np.ndarray:
+    """How many rows have a word, in SKETCH counters: a word's counter never falls short of its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
         for b in batches:
-            h = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(h & (SKETCH - 1), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
-
-    rows = sets.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & (SKETCH - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    counted = rows.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    out = np.ones(SKETCH, np.int32)
+    out[counted["slot"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 2**31 - 1)
     return out
 
 
@@ -95,7 +88,7 @@ def _postings(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cnt = shared.value
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(1)
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             if not len(n):
                 continue
@@ -110,36 +103,25 @@ def _postings(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
             # the smallest partner has ceil(t*n) words, all of them shared; a word of one record joins nothing
             keep = (place <= n[owner] - np.ceil(t * n - 1e-9).astype(np.int64)[owner]) & (c > 1)
             at, w, c = owner[keep], h[keep], c[keep]
-            blocks = np.maximum(1, -(-c // BLOCK))
-            ids = b.column(1).to_numpy(zero_copy_only=False)
+            blocks = np.maximum(1, -(-c.astype(np.int64) // BLOCK))
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             mine = ((ids[at].view(np.uint64) >> np.uint64(20)) % blocks.astype(np.uint64)).astype(np.int64)
-            # block pairs (mine, other): a record of block x goes to pairs (x, y) and (y, x) with the smaller first
+            # block pairs (mine, other), the smaller first; side tells in which of the two blocks a record lies
             row = np.repeat(np.arange(len(at)), blocks)
             other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             x, y = np.minimum(mine[row], other), np.maximum(mine[row], other)
             a = at[row]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.column(0).take(pa.array(a))),
-                    pa.array(w[row]),
-                    pa.array((x << 32) | y),
-                    pa.array(mine[row].astype(np.int32)),
-                    pa.array(ids[a]),
-                    pa.array(n[a].astype(np.int32)),
-                    pa.array(place[keep][row].astype(np.int32)),
-                    pa.array(sig[a, 0].view(np.int64)),
-                    pa.array(sig[a, 1].view(np.int64)),
-                ],
-                names=["field", "word", "pair", "block", "class_id", "n", "place", "s0", "s1"],
-            )
-
-    schema = "field string, word long, pair long, block int, class_id long, n int, place int, s0 long, s1 long"
-    return sets.select("field", "class_id", "hashes").mapInArrow(post, schema)
+            meta = (n[a] << 32) | (place[keep][row] << 1) | (mine[row] == y)
+            cols = [w[row], (x << 32) | y, ids[a], meta, sig[a, 0].view(np.int64), sig[a, 1].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "pair", "class_id", "meta", "s0", "s1"])
+
+    return sets.select("class_id", "hashes").mapInArrow(post, "word long, pair long, class_id long, meta long, s0 long, s1 long")
 
 
 def _near(a: dict, lo: int, hi: int, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of pairs in one word's postings [lo, hi) that may be similar."""
-    n, place, block = a["n"][lo:hi].astype(np.int64), a["place"][lo:hi].astype(np.int64), a["block"][lo:hi]
+    meta = a["meta"][lo:hi]
+    n, place, block = meta >> 32, (meta & 0xFFFFFFFF) >> 1, meta & 1
     slack = (1 - t) / (1 + t)
     x = place - slack * n
     o = np.argsort(x, kind="stable")
@@ -168,66 +150,50 @@ def _near(a: dict, lo: int, hi: int, t: float) -> Iterator[tuple[np.ndarray, np.
 
 
 def candidates(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """Pairs of classes (field, a, b) that may reach similarity t; none that does is missing."""
-    names = ["word", "pair", "block", "class_id", "n", "place", "s0", "s1"]
+    """Pairs of classes (a, b) that may reach similarity t; none that does is missing."""
+    names = ["word", "pair", "class_id", "meta", "s0", "s1"]
+
+    def groups(tab: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a = tab | {c: tab[c].view(np.uint64) for c in ("s0", "s1")}
+        bounds = np.concatenate([[0], np.flatnonzero((np.diff(a["word"]) != 0) | (np.diff(a["pair"]) != 0)) + 1, [len(a["word"])]])
+        some = np.flatnonzero(np.diff(bounds) > 1)
+        found = [p for k in some for p in _near(a, bounds[k], bounds[k + 1], t) if len(p[0])]
+        if found:
+            p = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def groups(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-            a = {c: tab.column(c).to_numpy() for c in names}
-            a["s0"], a["s1"] = a["s0"].view(np.uint64), a["s1"].view(np.uint64)
-            code = tab.column("field").combine_chunks().dictionary_encode()
-            f = code.indices.to_numpy()
-            new = np.flatnonzero((np.diff(a["word"]) != 0) | (np.diff(a["pair"]) != 0) | (np.diff(f) != 0)) + 1
-            bounds = np.concatenate([[0], new, [len(f)]])
-            fs, xs, ys = [], [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi - lo > 1:
-                    for x, y in _near(a, lo, hi, t):
-                        if len(x):
-                            xs.append(x)
-                            ys.append(y)
-                            fs.append(np.full(len(x), f[lo]))
-            if xs:
-                p = np.unique(np.stack([np.concatenate(fs), np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(p[:, 0])), pa.array(p[:, 1]), pa.array(p[:, 2])], names=["field", "a", "b"])
-
-        held: list[pa.RecordBatch] = []
+        held: list[dict[str, np.ndarray]] = []
         size = 0
+        whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in names}
         for b in batches:
-            held.append(b)
+            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in names})
             size += b.num_rows
             if size < 60_000:
                 continue
-            tab = pa.Table.from_batches(held)
-            w, q, f = (tab.column(c) for c in ("word", "pair", "field"))
-            w, q = w.to_numpy(), q.to_numpy()
-            same = (w == w[-1]) & (q == q[-1]) & (f.combine_chunks().dictionary_encode().indices.to_numpy() == f.combine_chunks().dictionary_encode().indices.to_numpy()[-1])
-            cut = len(w) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last group may go on in the next batch
+            tab = whole()
+            same = (tab["word"] == tab["word"][-1]) & (tab["pair"] == tab["pair"][-1])
+            cut = size - int(np.argmin(same[::-1])) if not same.all() else 0  # the last group may go on in the next batch
             if cut:
-                yield from groups(tab.slice(0, cut))
-            rest = tab.slice(cut)
-            held, size = rest.to_batches(), rest.num_rows
+                yield from groups({c: v[:cut] for c, v in tab.items()})
+            held, size = [{c: v[cut:] for c, v in tab.items()}], size - cut
         if held:
-            yield from groups(pa.Table.from_batches(held))
+            yield from groups(whole())
 
-    p = _postings(sets, counts, t)
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores(sets.sparkSession) * 4)
-    p = p.repartition(parts, "field", "word", "pair").sortWithinPartitions("field", "word", "pair")
-    return p.mapInArrow(join, "field string, a long, b long").distinct()
+    p = _postings(sets, counts, t).repartition(parts, "word", "pair").sortWithinPartitions("word", "pair")
+    return p.mapInArrow(join, "a long, b long").distinct()
 
 
-def similar_classes(sets: DataFrame, t: float = 0.7, fragments: int = FRAGMENTS) -> DataFrame:
-    """Pairs of classes (field, a, b, similarity) with intersection / union >= t, a < b."""
-    counts = word_counts(sets)
-    order = np.sort(counts[counts > 0])
+def similar_classes(sets: DataFrame, counts: np.ndarray, t: float = 0.7, fragments: int = FRAGMENTS) -> DataFrame:
+    """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
+    order = np.sort(counts[counts > 1].astype(np.int64))
     mass = np.cumsum(order)
     # pivots cut the global order into fragments of about equal numbers of word occurrences
     pivots = np.unique(order[np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)]) if len(order) else np.zeros(0, np.int64)
     found = candidates(sets, counts, t)
-    side = lambda s: sets.select("field", F.col("class_id").alias(s), F.col("hashes").alias(f"h{s}"))
-    pairs = found.join(side("a"), ["field", "a"]).join(side("b"), ["field", "b"])
+    side = lambda s: sets.select(F.col("class_id").alias(s), F.col("hashes").alias(f"h{s}"))
+    pairs = found.join(side("a"), "a").join(side("b"), "b")
     shared = sets.sparkSession.sparkContext.broadcast((counts, pivots))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,30 +212,30 @@ def similar_classes(sets: DataFrame, t: float = 0.7, fragments: int = FRAGMENTS)
             sim = overlap / np.maximum(na + nb - overlap, 1)
             keep = np.flatnonzero(sim >= t - 1e-12)
             at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("field").take(at), b.column("a").take(at), b.column("b").take(at), pa.array(sim[keep])], names=["field", "a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(sim[keep])], names=["a", "b", "similarity"])
 
-    return pairs.select("field", "a", "b", "ha", "hb").mapInArrow(verify, "field string, a long, b long, similarity double")
+    return pairs.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, similarity double")
 
 
 def similar_records(records: DataFrame, t: float = 0.7) -> DataFrame:
     """All pairs of records (field_name, id_a, id_b), id_a < id_b, with similarity >= t, members of equal sets included."""
-    members, sets = classes(records)
-    sets = written(sets, "neardup-sets")
-    links = similar_classes(sets, t)
-    both = links.select("field", "a", "b").unionByName(links.select("field", F.col("b").alias("a"), F.col("a").alias("b")))
+    members, sets, counts = classes(records)
+    members = written(members, "neardup-members")
+    links = similar_classes(sets, counts, t).select("a", "b")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = members.select("field", F.col("class_id").alias("a"), F.col("id").alias("id_a"))
-    right = members.select("field", F.col("class_id").alias("b"), F.col("id").alias("id_b"))
-    between = both.join(left, ["field", "a"]).join(right, ["field", "b"]).select("field", "id_a", "id_b")
-    within = left.join(right.withColumnRenamed("b", "a"), ["field", "a"]).select("field", "id_a", "id_b")
+    right = members.select(F.col("class_id").alias("b"), F.col("id").alias("id_b"))
+    between = both.join(left, "a").join(right, "b").select("field", "id_a", "id_b")
+    within = left.join(right.withColumnRenamed("b", "a"), "a").select("field", "id_a", "id_b")
     return between.unionByName(within).where("id_a < id_b").withColumnRenamed("field", "field_name")
 
 
 def groups(records: DataFrame, t: float = 0.7) -> DataFrame:
     """One row per record: (field_name, id, class_id, links), links counting the other word sets similar to its own."""
-    members, sets = classes(records)
-    links = similar_classes(written(sets, "neardup-sets"), t)
-    ends = links.select("field", F.col("a").alias("class_id")).unionByName(links.select("field", F.col("b").alias("class_id")))
-    n = ends.groupBy("field", "class_id").agg(F.count("*").alias("links"))
-    return members.join(n, ["field", "class_id"], "left").select(
+    members, sets, counts = classes(records)
+    links = similar_classes(sets, counts, t)
+    ends = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id")))
+    n = ends.groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(n, "class_id", "left").select(
         F.col("field").alias("field_name"), "id", F.format_string("%016x", "class_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
     )
