@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import conversations, knn, leakage, neardup, packing, runs, spam, truncation
+from anamnesis.llm import conversations, credentials, knn, leakage, neardup, packing, runs, spam, truncation
 from anamnesis.sources.tables import table
 
 
@@ -34,6 +34,14 @@ def p1_by_agent(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(_authored(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.found(table(spark, d, "raw_observations"))
+
+
+def p2_masked(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.scanned(table(spark, d, "raw_observations")).select("obs_id", "field_name", "n_secrets", "masked").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     named = lambda n, df: df.select(F.lit(n).alias("table_name"), "key_a", "key_b")
     images = knn.pairs(table(spark, d, "image_vectors"), "image_ref", "vector", 64)
@@ -97,7 +105,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents")).select("doc_id", "n_words", F.round("list_share", 6).alias("list_share"), F.round("stitched", 6).alias("stitched"), "spam")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_by_agent": p1_by_agent, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_by_agent": p1_by_agent, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_scores": p10_scores}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH e AS (
