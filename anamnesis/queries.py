@@ -1,4 +1,4 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core and their SQL, collected from the modules of anamnesis.catalog."""
 
 from __future__ import annotations
 
@@ -6,23 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.streaming import exactly_once
+from anamnesis.catalog import analytics, delivery, graph, lifecycle, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": exactly_once.redelivered, "p7_kept": exactly_once.kept_once}
-SQL: dict[str, str] = {
-    "p7_found": """
-        SELECT 'raw_observations' AS table_name, min(session_id) AS session_id, obs_id AS record_id FROM raw_observations
-        WHERE obs_id IS NOT NULL GROUP BY obs_id HAVING count(*) > 1
-        UNION ALL
-        SELECT 'transcript_rows', session_id, uuid FROM transcript_rows
-        WHERE session_id IS NOT NULL AND uuid IS NOT NULL GROUP BY session_id, uuid HAVING count(*) > 1""",
-    "p7_kept": """
-        SELECT table_name, session_id, record_id, received_at, batch_id FROM (
-          SELECT 'raw_observations' AS table_name, session_id, obs_id AS record_id, received_at, batch_id,
-                 row_number() OVER (PARTITION BY obs_id ORDER BY received_at NULLS FIRST, batch_id NULLS FIRST, session_id NULLS FIRST) AS r
-          FROM raw_observations WHERE obs_id IS NOT NULL
-          UNION ALL
-          SELECT 'transcript_rows', session_id, uuid, received_at, batch_id,
-                 row_number() OVER (PARTITION BY session_id, uuid ORDER BY received_at NULLS FIRST, batch_id NULLS FIRST)
-          FROM transcript_rows WHERE session_id IS NOT NULL AND uuid IS NOT NULL) WHERE r = 1""",
-}
+_PARTS = (retrieval, analytics, lifecycle, graph, delivery)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: q for m in _PARTS for k, q in m.SQL.items()}
