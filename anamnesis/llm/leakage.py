@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.fmindex import FMIndex
+from anamnesis.plans.scratch import spread
 
 LEAST = 12
 SLICE = 20_000  #: items searched at once
@@ -120,7 +121,7 @@ def spans(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
             if held:
                 yield from close()
 
-        got = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(search, "doc_id long, item_id long, first_word long, last_word long")
+        got = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(search, "doc_id long, item_id long, first_word long, last_word long")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.plans.scratch import cores, written
+from anamnesis.plans.scratch import cores, spread, written
 
 SKETCH_BITS = 21
 SKETCH = 1 << SKETCH_BITS  #: counters of the sketch; 8 MB however large the corpus
@@ -49,7 +49,7 @@ def classes(records: DataFrame, field: str = "field_name", key: str = "id", text
     fields have no word in common.
     """
     r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
-    r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
+    r = spread(r).select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
     r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
     members = r.groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
     return members, r.groupBy("class_id").agg(F.first("hashes").alias("hashes")), word_counts(r)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.plans.scratch import cores, written
+from anamnesis.plans.scratch import cores, spread, written
 
 CROWD, TIMES = 8, 5.0  #: values at a limit at least, and times the mean of the lengths below
 SOFT = 25  #: a limit that cuts back to a blank crowds this many lengths below it
@@ -166,7 +166,7 @@ def limits(m: DataFrame) -> DataFrame:
 
 def judged(v: DataFrame) -> DataFrame:
     """(record_id, field_name, source, reason): reason is null for whole values, else limit, mark or ending."""
-    m = written(_measured(v), "truncation-values")
+    m = written(_measured(spread(v)), "truncation-values")
     kinds = limits(m).groupBy("field_name", "source", "mark").agg(F.collect_set(F.struct("notation", "low", "high")).alias("limits"))
     m = m.join(kinds, ["field_name", "source", "mark"], "left")
     m = m.withColumn("at_limit", F.coalesce(F.exists("limits", lambda x: F.element_at(F.col("n"), x["notation"] + 1).between(x["low"], x["high"])), F.lit(False)))
