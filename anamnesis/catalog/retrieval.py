@@ -16,15 +16,16 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return lexical.postings(table(s, d, "documents"), "doc_id", "text")
 
 
+def _searched(s: SparkSession, d: str) -> DataFrame:
+    return lexical.searched(table(s, d, "documents"), "doc_id", "text", lexical.terms_of(s, QUERY))
+
+
 def bm25_simple(s: SparkSession, d: str) -> DataFrame:
-    p = _docs(s, d)
-    return lexical.bm25(p, lexical.terms_of(s, QUERY)).orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("doc_id"), "score")
+    return _searched(s, d).orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("doc_id"), "score")
 
 
 def bm25_prefix(s: SparkSession, d: str) -> DataFrame:
-    p = _docs(s, d)
-    terms = lexical.with_prefixes(p, lexical.terms_of(s, "retr cach"))
-    return lexical.bm25(p, terms).orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("doc_id"), "score")
+    return lexical.searched(table(s, d, "documents"), "doc_id", "text", lexical.terms_of(s, "retr cach"), prefixes=True).orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("doc_id"), "score")
 
 
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
@@ -35,8 +36,8 @@ def bm25_batch(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_memories(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "memories").where("coalesce(is_latest, true) and title is not null and content is not null")
-    p = lexical.postings(m, "memory_id", F.concat_ws(" ", "title", "content", "concepts", "files", "memory_type"))
-    return lexical.bm25(p, lexical.terms_of(s, QUERY)).orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("memory_id"), "score")
+    text = F.concat_ws(" ", "title", "content", "concepts", "files", "memory_type")
+    return lexical.searched(m, "memory_id", text, lexical.terms_of(s, QUERY)).orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("memory_id"), "score")
 
 
 def index_statistics(s: SparkSession, d: str) -> DataFrame:
@@ -64,7 +65,7 @@ def vector_dimensions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _streams(s: SparkSession, d: str, limit: int = 40) -> dict[str, DataFrame]:
-    lex = lexical.top(lexical.bm25(_docs(s, d), lexical.terms_of(s, QUERY)), limit).select("doc", "rank")
+    lex = lexical.top(_searched(s, d), limit).select("doc", "rank")
     vec = vector.top(table(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d), limit)
     vec = lexical.top(vec.select(F.lit(0).alias("q"), F.col("vec_id").alias("doc"), "score"), limit).select("doc", "rank")
     return {"bm25": lex, "vector": vec}
@@ -128,8 +129,7 @@ def memory_quality(s: SparkSession, d: str) -> DataFrame:
 def lesson_recall(s: SparkSession, d: str) -> DataFrame:
     """Memories as lessons: lexical score in relation to the best, times confidence, times recency."""
     m = table(s, d, "memories")
-    p = lexical.postings(m.where("content is not null"), "memory_id", "content")
-    hits = lexical.bm25(p, lexical.terms_of(s, QUERY)).join(m.select(F.col("memory_id").alias("doc"), "strength", "updated_at"), "doc")
+    hits = lexical.searched(m.where("content is not null"), "memory_id", "content", lexical.terms_of(s, QUERY)).join(m.select(F.col("memory_id").alias("doc"), "strength", "updated_at"), "doc")
     best = hits.groupBy("q").agg(F.max("score").alias("best"))
     days = (F.unix_micros(F.lit("2026-07-01 00:00:00").cast("timestamp")) - F.unix_micros("updated_at")) / 86400e6
     hits = hits.join(best, "q").select(F.col("doc").alias("memory_id"), F.round(F.col("score") / F.col("best") * F.col("strength") / 10 / (1 + 0.01 * days), 3).alias("relevance"))

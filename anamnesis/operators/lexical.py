@@ -10,16 +10,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import stem, synonyms, tokens
+from anamnesis.plans.scratch import spread, written
 
 K1, B = 1.2, 0.75
 PREFIX_WEIGHT, SYNONYM_WEIGHT = 0.5, 0.7
 
 
+LITERAL_TERMS = 64  #: with so few asked terms they are matched while documents are read
+
+
+def tokenised(docs: DataFrame, key: str, text: Column | str) -> DataFrame:
+    """(doc, t): each document's tokens."""
+    text = F.col(text) if isinstance(text, str) else text
+    d = spread(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")))
+    return d.select("doc", tokens(F.col("text")).alias("t"))
+
+
 def postings(docs: DataFrame, key: str, text: Column | str) -> DataFrame:
     """(doc, term, tf, dl): how often each document has each term, and its length in tokens."""
-    text = F.col(text) if isinstance(text, str) else text
-    d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    return d.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    d = tokenised(docs, key, text).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return d.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def searched(docs: DataFrame, key: str, text: Column | str, terms: DataFrame, prefixes: bool = False) -> DataFrame:
+    """(q, doc, score) for few asked terms without an index: one pass keeps of each document its length and the asked tokens."""
+    asked = [r["term"] for r in terms.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    if len(asked) > LITERAL_TERMS:
+        p = postings(docs, key, text)
+        return bm25(p, with_prefixes(p, terms) if prefixes else terms)
+
+    def hit(t: Column) -> Column:
+        if not prefixes:
+            return t.isin(asked)
+        out = F.lit(False)
+        for a in asked:
+            out = out | t.startswith(a)
+        return out
+
+    d = written(tokenised(docs, key, text).select("doc", F.size("t").alias("dl"), F.filter("t", hit).alias("t")), "lexical-hits")
+    p = d.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    return bm25(p, with_prefixes(p, terms) if prefixes else terms, lengths=d.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def statistics(p: DataFrame) -> DataFrame:
@@ -52,16 +82,17 @@ def with_prefixes(p: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.select("q", "term", "weight").unionByName(more.select("q", "term", (F.col("weight") * PREFIX_WEIGHT).alias("weight")))
 
 
-def bm25(p: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(p: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
     """(q, doc, score), rounded to 6 places, for the queries in terms (q, term, weight)."""
-    hits = p.join(terms, "term")
-    df = hits.groupBy("term").agg(F.countDistinct("doc").alias("df"))
-    s = statistics(p)
+    asked = terms.select("term").distinct()
+    hits = written(p.join(asked, "term", "left_semi"), "lexical-postings")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    s = statistics(p) if lengths is None else lengths
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # the statistics are one row, added by a key both sides have
-    hits = hits.join(df, "term").withColumn("one", F.lit(1)).join(F.broadcast(s.withColumn("one", F.lit(1))), "one")
-    return hits.groupBy("q", "doc").agg(F.round(F.sum(F.col("weight") * idf * tf), 6).alias("score"))
+    # the statistics are one row, added by a key both sides have; what a posting is worth is settled before queries multiply it
+    hits = hits.join(df, "term").withColumn("one", F.lit(1)).join(F.broadcast(s.withColumn("one", F.lit(1))), "one").select("doc", "term", (idf * tf).alias("worth"))
+    return hits.join(terms, "term").groupBy("q", "doc").agg(F.round(F.sum(F.col("weight") * F.col("worth")), 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: str = "q") -> DataFrame:

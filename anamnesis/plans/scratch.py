@@ -41,3 +41,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer splits than that (a few small files); larger tables stay as they are."""
+    n = cores(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
