@@ -8,7 +8,7 @@ chars]"), since limits hold for what stands before it.
 
 Endings are then inspected. A value at a limit is cut unless it ends as finished texts do. A mark that counts what is
 missing is proof; an ellipsis is one only at a limit. Away from limits a value is cut if it ends inside a code fence or
-a character, inside a word (a last word that never occurs whole), or in words after which the corpus always goes on:
+a character, inside a word (a last word that never occurs whole and begins longer ones), or in words after which the corpus always goes on:
 runs of two and three words and pairs of words before two others, names and numbers masked, are counted over all values as going on, as ending a sentence,
 and as ending a value, and an ending that many values share is a way to end.
 
@@ -19,6 +19,7 @@ reported once if any was cut; values without source form a source of their own;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.plans.scratch import cores, spread, written
+from anamnesis.plans.scratch import cores, written
 
 CROWD, TIMES = 8, 5.0  #: values at a limit at least, and times the mean of the lengths below
 SOFT = 25  #: a limit that cuts back to a blank crowds this many lengths below it
@@ -99,15 +100,15 @@ def _runs(text: str) -> Iterator[tuple[str, int]]:
             z, a, b = ("^", "^", "^") if stop else (a, b, m)
 
 
-def ending(text: str) -> tuple[int, str, str, str, str]:
-    """How a text ends: 0 finished, 1 broken off for certain, 2 to be looked up; then its last runs and last word."""
+def ending(text: str) -> tuple[int, str, str, str, str, str]:
+    """How a text ends: 0 finished, 1 broken off for certain, 2 to be looked up; then its last runs, its last word, and the word as a beginning."""
     t = text.rstrip()
     if not t:
-        return 0, "", "", "", ""
+        return 0, "", "", "", "", ""
     if t[-1] == "�" or t.count("```") % 2 or 0xD800 <= ord(t[-1]) < 0xDC00:
-        return 1, "", "", "", ""
+        return 1, "", "", "", "", ""
     if FINISHED.search(t):
-        return 0, "", "", "", ""
+        return 0, "", "", "", "", ""
     z = a = b = "^"
     words = t.split("\n")[-1].split()
     for w in words[:-1]:
@@ -115,7 +116,7 @@ def ending(text: str) -> tuple[int, str, str, str, str]:
     core = words[-1].strip(TRIM)
     m = mask(core)
     whole = "" if m in ("0", "/.", "/") else core.lower() if m != "X" else "" if re.search(r"\d", core) else (PART.findall(core) or [""])[-1].lower()
-    return 2, f"{a} {b} {m}", f"{b} {m}", f"{z} {a} * *", f"w {whole}" if whole else ""
+    return 2, f"{a} {b} {m}", f"{b} {m}", f"{z} {a} * *", f"w {whole}" if whole else "", f"b {whole}" if whole else ""
 
 
 def values(parts: list[tuple[DataFrame, str, str, Column]]) -> DataFrame:
@@ -166,7 +167,7 @@ def limits(m: DataFrame) -> DataFrame:
 
 def judged(v: DataFrame) -> DataFrame:
     """(record_id, field_name, source, reason): reason is null for whole values, else limit, mark or ending."""
-    m = written(_measured(spread(v)), "truncation-values")
+    m = written(_measured(v), "truncation-values")
     kinds = limits(m).groupBy("field_name", "source", "mark").agg(F.collect_set(F.struct("notation", "low", "high")).alias("limits"))
     m = m.join(kinds, ["field_name", "source", "mark"], "left")
     m = m.withColumn("at_limit", F.coalesce(F.exists("limits", lambda x: F.element_at(F.col("n"), x["notation"] + 1).between(x["low"], x["high"])), F.lit(False)))
@@ -175,11 +176,11 @@ def judged(v: DataFrame) -> DataFrame:
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e = [ending(t) for t in b.column("body").to_pylist()]
-            cols = [pa.array([x[0] for x in e], pa.int32())] + [pa.array(_hash([x[k] for x in e])) for k in (1, 2, 3, 4)] + [pa.array([bool(x[4]) for x in e])]
+            cols = [pa.array([x[0] for x in e], pa.int32())] + [pa.array(_hash([x[k] for x in e])) for k in (1, 2, 3, 4, 5)] + [pa.array([bool(x[4]) for x in e])]
             keep = ["record_id", "field_name", "source", "mark", "at_limit"]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, names=[*keep, "state", "run3", "run2", "frame", "word", "has_word"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, names=[*keep, "state", "run3", "run2", "frame", "word", "head", "has_word"])
 
-    e = m.mapInArrow(inspect, "record_id string, field_name string, source string, mark int, at_limit boolean, state int, run3 long, run2 long, frame long, word long, has_word boolean")
+    e = m.mapInArrow(inspect, "record_id string, field_name string, source string, mark int, at_limit boolean, state int, run3 long, run2 long, frame long, word long, head long, has_word boolean")
     e = written(e, "truncation-endings")
     open_ = e.where("state = 2 and mark = 0 and not at_limit")
 
@@ -194,21 +195,24 @@ def judged(v: DataFrame) -> DataFrame:
                 continue
             code, uniq = pd.factorize(np.array(keys, object))
             n = np.bincount(code * 4 + np.array(kinds_), minlength=len(uniq) * 4).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(_hash(list(uniq)))] + [pa.array(n[:, k].astype(np.int64)) for k in range(4)], names=["run", "go", "stop", "last", "whole"])
+            heads = Counter(f"b {u[2 : 2 + k]}" for u, c in zip(uniq, n[:, WHOLE]) if c for k in range(1, min(len(u) - 2, 24)))
+            uniq = [*uniq, *heads]
+            n = np.concatenate([n, np.outer(np.array(list(heads.values()), np.int64), np.eye(4, dtype=np.int64)[WHOLE])])
+            yield pa.RecordBatch.from_arrays([pa.array(_hash(uniq))] + [pa.array(n[:, k].astype(np.int64)) for k in range(4)], names=["run", "go", "stop", "last", "whole"])
 
     # values at a limit say nothing about how texts end
     tall = m.where("not at_limit and mark = 0").select("body").repartition(2 * cores(v.sparkSession)).mapInArrow(count, "run long, go long, stop long, last long, whole long")
-    asked = open_.select(F.explode(F.array("run3", "run2", "frame", "word")).alias("run")).distinct()
+    asked = open_.select(F.explode(F.array("run3", "run2", "frame", "word", "head")).alias("run")).distinct()
     known = tall.groupBy("run").agg(*(F.sum(c).alias(c) for c in ("go", "stop", "last", "whole"))).join(asked, "run", "left_semi")
     known = written(known, "truncation-runs")
     side = lambda c, *cols: known.select(F.col("run").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
-    o = open_.join(side("run3", "go", "stop", "last"), "run3", "left").join(side("run2", "go", "stop", "last"), "run2", "left").join(side("frame", "go", "stop", "last"), "frame", "left").join(side("word", "whole"), "word", "left")
+    o = open_.join(side("run3", "go", "stop", "last"), "run3", "left").join(side("run2", "go", "stop", "last"), "run2", "left").join(side("frame", "go", "stop", "last"), "frame", "left").join(side("word", "whole"), "word", "left").join(side("head", "whole"), "head", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     common = (z("run3_last") > 3 + 0.02 * z("run3_go")) | (z("frame_last") > 3 + 0.1 * z("frame_go"))
     stops = z("run3_stop") + z("run2_stop") * F.when(z("run3_stop") + z("run3_go") < 3, 1).otherwise(0)
     goes = z("run3_go") + z("run2_go") * F.when(z("run3_stop") + z("run3_go") < 3, 1).otherwise(0)
     usual = ((stops >= 1) & (stops >= 0.1 * goes)) | ((z("frame_stop") >= 3) & (z("frame_stop") >= 0.3 * z("frame_go")))
-    inside = F.col("has_word") & (z("word_whole") == 0) & (z("run3_last") <= 2)
+    inside = F.col("has_word") & (z("word_whole") == 0) & (z("head_whole") > 0) & (z("run3_last") <= 2)
     breaks = (~(common | usual) & (((stops == 0) & (goes >= 3)) | ((stops > 0) & (stops < 0.1 * goes)))) | (inside & ~common)
     broken = o.where(breaks).select("record_id", "field_name", F.lit(True).alias("broken")).distinct()
     e = e.join(broken, ["record_id", "field_name"], "left")
