@@ -16,16 +16,25 @@ from pyspark.sql import DataFrame
 from anamnesis.plans.scratch import cores
 
 
-def partitions(df: DataFrame) -> int:
+ROWS = 5_000  #: a partition has at least about so many rows, so that few sequences meet an edge
+
+
+def partitions(df: DataFrame, rows: int | None) -> int:
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark) * 2)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark) * 2)
+    return n if rows is None else max(1, min(n, rows // ROWS))
+
 
+def stream(
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int | None = None
+) -> DataFrame:
+    """fn(block, batches) over the range partitions of df, sorted by keys and order; blocks count in that order.
 
-def stream(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """fn(block, batches) over the range partitions of df, sorted by keys and order; blocks count in that order."""
+    rows is about how many there are, where that is cheap to tell (a stored table's count).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(TaskContext.get().partitionId(), batches)
 
     by = [*keys, *order]
-    return df.repartitionByRange(partitions(df), *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return df.repartitionByRange(partitions(df, rows), *by).sortWithinPartitions(*by).mapInArrow(run, schema)

@@ -44,6 +44,9 @@ def cores(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a table has fewer splits than that (a few small files); larger tables stay as they are."""
+    """Rows over all cores where a table has fewer splits than that (a few small files); larger tables stay as they are.
+
+    Only for plans without an exchange: asking a plan for its partitions would run the stages before one.
+    """
     n = cores(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
