@@ -45,7 +45,7 @@ def sessions(raw: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> D
 
 def cooled(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Events that come at least so many seconds after the last one let through of their key: arbitrary state per key."""
-    schema = events.schema
+    schema, columns = events.schema, events.columns
 
     def fn(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -58,7 +58,7 @@ def cooled(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
                     out.append(row)
         state.update((last,))
         if out:
-            yield pd.DataFrame(out, columns=events.columns)
+            yield pd.DataFrame(out, columns=columns)
 
     return events.groupBy(key).applyInPandasWithState(fn, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
