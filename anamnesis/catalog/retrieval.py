@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text as T
-from anamnesis.operators import fusion, lexical, vector
+from anamnesis.operators import fusion, lexical, retrieve, vector
 from anamnesis.sources.tables import table
 
 QUERY = "retry cache timeline"
@@ -145,11 +145,32 @@ def containment_search(s: SparkSession, d: str) -> DataFrame:
     return m.where("score > 0").orderBy(F.desc("score"), "memory_id").limit(20)
 
 
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    return retrieve.observation_rows(table(s, d, "file_history"), table(s, d, "sessions")).unionByName(retrieve.memory_rows(table(s, d, "memories")))
+
+
+def search_project(s: SparkSession, d: str) -> DataFrame:
+    """Search in one project with a budget of tokens."""
+    out = retrieve.search(s, _rows(s, d), "retry cache", 50, project="proj-amber-lease", budget=2000)
+    return out.select("doc", "type", "score")
+
+
+def search_narrative(s: SparkSession, d: str) -> DataFrame:
+    return retrieve.search(s, _rows(s, d), "retry cache", 10, form="narrative").select("doc", "score", F.sha2("text", 256).alias("text_hash"))
+
+
+def file_context(s: SparkSession, d: str) -> DataFrame:
+    """What the newest sessions of each of two projects noted about one file's name."""
+    files = [r[0].rpartition("/")[2] for r in table(s, d, "file_history").where("file_path is not null").groupBy("file_path").count().orderBy(F.desc("count"), "file_path").limit(3).collect()]
+    return retrieve.file_context(table(s, d, "file_history"), table(s, d, "sessions"), "proj-amber-lease", files or ["?"], newest=100).select("file", "obs_id", "importance", "place")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_simple, bm25_prefix, bm25_batch, bm25_memories, index_statistics, vector_topk, vector_batch_topk, vector_dimensions, hybrid_rrf, rrf_diversified, budget_pack, context_blocks,
-        redact_secrets, normalised_observations, token_estimates, memory_fingerprints, query_entities, memory_quality, lesson_recall, containment_search,
+        redact_secrets, normalised_observations, token_estimates, memory_fingerprints, query_entities, memory_quality, lesson_recall, containment_search, search_project,
+        search_narrative, file_context,
     )
 }
 
@@ -255,3 +276,24 @@ SQL = {
                    FROM memories WHERE content IS NOT NULL AND strength IS NOT NULL)
         SELECT * FROM m WHERE score > 0 ORDER BY score DESC, memory_id LIMIT 20""",
 }
+_SE = "(SELECT session_id, min(project) AS project, min(agent_id) AS agent_id FROM sessions WHERE session_id IS NOT NULL GROUP BY session_id)"
+_ALL = f"""a AS (SELECT o.obs_id AS doc, s.project, o.obs_type AS type, o.title, o.narrative, [o.file_path] AS files, [] AS concepts
+               FROM (SELECT DISTINCT ON (obs_id) * FROM file_history WHERE obs_id IS NOT NULL AND title IS NOT NULL AND narrative IS NOT NULL) o LEFT JOIN {_SE} s USING (session_id)
+             UNION ALL SELECT memory_id, project, 'decision', title, content, files, concepts FROM memories WHERE memory_id IS NOT NULL AND coalesce(is_latest, true) AND title IS NOT NULL AND content IS NOT NULL),
+        x AS (SELECT doc, concat_ws(' ', title, narrative, array_to_string(concepts, ' '), array_to_string(files, ' '), type) AS text FROM a{{where}}),"""
+_ASKED = """SELECT 0 AS q, unnest(['retry', 'cache']) AS term, 1.0::DOUBLE AS weight
+              UNION ALL SELECT 0, t.term, 0.5::DOUBLE FROM (SELECT DISTINCT term FROM tf) t, (SELECT unnest(['retry', 'cache']) AS a) WHERE starts_with(t.term, a) AND t.term <> a"""
+SQL |= {
+    "search_project": f"""WITH {_ALL.format(where=" WHERE coalesce(project, 'proj-amber-lease') = 'proj-amber-lease'")} {_bm25("doc", "text", "x", _ASKED)},
+        h AS (SELECT doc, score FROM score ORDER BY score DESC, doc LIMIT 50),
+        u AS (SELECT doc, type, score, sum(greatest(1, ceil(length(narrative) / 3.0))) OVER (ORDER BY score DESC, doc ROWS UNBOUNDED PRECEDING) AS used FROM h JOIN a USING (doc))
+        SELECT doc, type, score FROM u WHERE used <= 2000""",
+    "search_narrative": f"""WITH {_ALL.format(where="")} {_bm25("doc", "text", "x", _ASKED)}, h AS (SELECT doc, score, row_number() OVER (ORDER BY score DESC, doc) AS r FROM score QUALIFY r <= 10)
+        SELECT doc, score, sha256(r::VARCHAR || '. ' || title || ': ' || narrative) AS text_hash FROM h JOIN a USING (doc)""",
+    "file_context": """WITH f AS (SELECT regexp_extract(file_path, '[^/]*$') AS file FROM (SELECT file_path FROM file_history WHERE file_path IS NOT NULL GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 3)),
+        s AS (SELECT session_id FROM sessions WHERE project = 'proj-amber-lease' AND session_id IS NOT NULL GROUP BY session_id ORDER BY max(started_at) DESC NULLS LAST, session_id LIMIT 100),
+        o AS (SELECT DISTINCT ON (obs_id) * FROM file_history WHERE obs_id IS NOT NULL AND importance >= 4),
+        r AS (SELECT file, obs_id, importance, row_number() OVER (PARTITION BY file ORDER BY importance DESC, ts DESC, obs_id) AS place
+              FROM o JOIN f ON file_path = file OR ends_with(file_path, '/' || file) OR ends_with(file, '/' || file_path) WHERE session_id IN (SELECT session_id FROM s))
+        SELECT file, obs_id, importance, place::INT AS place FROM r WHERE place <= 5""",
+}
