@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
 SKETCH_BITS = 21
 SKETCH = 1 << SKETCH_BITS  #: counters of the sketch; 8 MB however large the corpus
 BLOCK = 4096  #: postings of one word in one block of a block pair
+PIECE = 1_000_000  #: words handled at once
 FRAGMENTS = 16  #: pieces of the global order
 
 
@@ -59,7 +61,7 @@ def word_counts(rows: DataFrame) -> np.ndarray:
     """How many rows have a word, in SKETCH counters: a word's counter never falls short of its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 0, PIECE):
             at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & (SKETCH - 1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["slot", "n"])
 
@@ -87,9 +89,9 @@ def _postings(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cnt = shared.value
-        for b in batches:
+        for b in bounded(batches, 1, PIECE):
             lists = b.column(1)
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # offsets of a slice start at its first row
             if not len(n):
                 continue
             h, owner, c = _ordered(lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), cnt)
@@ -198,7 +200,7 @@ def similar_classes(sets: DataFrame, counts: np.ndarray, t: float = 0.7, fragmen
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cnt, piv = shared.value
-        for b in batches:
+        for b in bounded(batches, "ha", PIECE):
             ha, hb = b.column("ha"), b.column("hb")
             na, nb = np.diff(ha.offsets.to_numpy()), np.diff(hb.offsets.to_numpy())
             who = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
 CROWD, TIMES = 8, 5.0  #: values at a limit at least, and times the mean of the lengths below
+PIECE = 1_000_000  #: bytes of text whose runs of words are counted at once
 SOFT = 25  #: a limit that cuts back to a blank crowds this many lengths below it
 
 # Marks that replace a lost end. The first group tells how much is missing and is proof of its own.
@@ -185,7 +187,7 @@ def judged(v: DataFrame) -> DataFrame:
     open_ = e.where("state = 2 and mark = 0 and not at_limit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 0, PIECE):
             keys, kinds_ = [], []
             for t in b.column(0).to_pylist():
                 for key, kind in _runs(t):
