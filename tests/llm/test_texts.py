@@ -86,6 +86,14 @@ def test_credentials_are_found_and_only_they_are_masked(spark):
     assert credentials.found(df.limit(0)).count() == 0
 
 
+def test_credentials_without_digits_or_with_few_are_found():
+    rows, _ = secrets_table(1500)
+    m = credentials.fit([(t, r[1]) for r in rows for t in r[2:] if t])
+    bad = ["PARSER_API_KEY=GqQxWvTrLbHsKdNfZpYcMjRt", "export PGPASSWORD=XKUpbbndEz9", "  password: uqFkLj!jgzKK", "the staging password is Quarry%Juniper79", "const opts = { user: 'x', pass: 'TRJTeIShAAq' };"]
+    fine = ["  poll_token: loader112", "password: string", "the password is required", "assert token_count == 7743067", "api_key = settings.key", "class ParserGraph79(Base):"]
+    assert [t for t in bad if not credentials.secrets(t, None, m)] == [] and [t for t in fine if credentials.secrets(t, None, m)] == []
+
+
 def test_credentials_model_is_right_on_held_out_labels():
     rows, _ = secrets_table(1500)
     m = credentials.fit([(t, r[1]) for r in rows for t in r[2:] if t])
