@@ -3,11 +3,12 @@
 Evidence of two kinds is joined. List density: a text is split into lines and sentences, and each of them is prose, code
 or a list entry (a bare link, a link whose label is keywords, hash tags, keywords between separators, a product row, or
 words without grammar that this text uses again and again). Phrases: every run of five words is hashed and the distinct
-hosts that use it are counted over the whole corpus; a page is stitched as far as its phrases stand on other hosts or
-repeat inside the page itself.
+hosts that use it are counted over the whole corpus, for every document; a page is stitched as far as its phrases stand
+on other hosts or repeat inside the page itself, and borrowed as far as they stand on other hosts than the one it shares
+most with. A copy shares all its phrases with the same hosts, so it is stitched but not borrowed.
 
-A page is flagged if list entries make up most of it, or nearly half of it while it is stitched together, or if it is
-stuffed: most of its phrases come again and again in it, whatever grammar holds them together. Logs, code, change lists, links
+A page is flagged if list entries make up most of it, or nearly half of it while it is stitched together, or if its share
+of list entries and its borrowed share add up to MIXED, which needs no list entry at all, or if it is stuffed: most of its phrases come again and again in it, whatever grammar holds them together. Logs, code, change lists, links
 with a sentence each, and notes that end in tags or links are mostly prose or code, and their phrases vary.
 
 Counts cover every document. Per phrase only the smallest and largest host are kept, which combine before the shuffle,
@@ -35,6 +36,8 @@ WORDS_IN_PHRASE = 5
 AGAIN = 3  #: uses of a phrase in one text that count as repeating it; a paragraph given twice is no stuffing
 LEAST = 12  #: words a page needs
 MOSTLY, PARTLY, STITCHED = 0.5, 0.45, 0.45  #: share of list entries; with less, share of entries and of stitched phrases
+MIXED = 0.75  #: share of list entries plus share of borrowed phrases; legitimate texts of check_l reach 0.68
+DOUBT = 8  #: phrases of its own that a page is credited with, as a note of one sentence is borrowed by chance
 STUFFED, FEW = 0.2, 0.3  #: share of phrases that a text uses again and again, while its words are at most so many different ones
 
 # Frequent grammatical words of English, German, French and Spanish.
@@ -145,7 +148,7 @@ def phrases(text: str) -> tuple[np.ndarray, float]:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, list_share, n_words, repeated, phrases) of every document."""
+    """(doc_id, host, list_share, n_words, natural, repeated, phrases) of every document; natural: mostly code or log lines."""
     one = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).groupBy("doc_id").agg(F.min(F.struct("text", F.coalesce("source", F.concat(F.lit("doc:"), F.col("doc_id"))).alias("host"))).alias("d"))
     parts = max(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * cores(one.sparkSession))
     one = one.select("doc_id", "d.host", "d.text").repartition(parts, "doc_id")
@@ -157,30 +160,33 @@ def measured(documents: DataFrame) -> DataFrame:
                 listed, prose, code, n = list_density(text)
                 hashes, repeated = phrases(text)
                 lines = text.splitlines()
-                if 2 * code > listed + prose + code or 2 * sum(bool(STAMP.search(x)) for x in lines) > len(lines):
+                natural = 2 * code > listed + prose + code or 2 * sum(bool(STAMP.search(x)) for x in lines) > len(lines)
+                if natural:
                     repeated = 0.0  # code and logs repeat themselves by nature
-                rows.append((listed / max(1, listed + prose + code), n, repeated, hashes))
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
+                rows.append((listed / max(1, listed + prose + code), n, natural, repeated, hashes))
+            cols = list(zip(*rows)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("host"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int64()))],
-                names=["doc_id", "host", "list_share", "n_words", "repeated", "phrases"],
+                [b.column("doc_id"), b.column("host"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.int64()))],
+                names=["doc_id", "host", "list_share", "n_words", "natural", "repeated", "phrases"],
             )
 
-    return one.mapInArrow(measure, "doc_id long, host string, list_share double, n_words int, repeated double, phrases array<long>")
+    return one.mapInArrow(measure, "doc_id long, host string, list_share double, n_words int, natural boolean, repeated double, phrases array<long>")
 
 
 def scored(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, list_share, repeated, stitched, spam): stitched is the share of phrases that other hosts or the page itself repeat."""
+    """(doc_id, n_words, list_share, repeated, stitched, borrowed, spam): stitched is the share of phrases that other hosts or the page itself repeat."""
     m = written(measured(documents), "spam-measures")
-    at = m.select(F.xxhash64("host").alias("host"), F.explode("phrases").alias("phrase"))
-    shared = at.groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a < b").select("phrase")
-    doubtful = m.where(F.col("list_share") >= PARTLY)
-    elsewhere = doubtful.select("doc_id", F.explode("phrases").alias("phrase")).join(shared, "phrase", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    at = m.select("doc_id", F.xxhash64("host").alias("host"), F.explode("phrases").alias("phrase"))
+    shared = at.groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a < b")
+    other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))  # the same host for all phrases of a copy
+    by_host = at.join(shared, "phrase").groupBy("doc_id", other.alias("other")).agg(F.count("*").alias("n"))
+    elsewhere = by_host.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     out = m.join(elsewhere, "doc_id", "left")
     share = F.coalesce(F.col("n"), F.lit(0)) / F.greatest(F.size("phrases"), F.lit(1))
+    borrowed = F.when(F.col("natural"), 0.0).otherwise(F.coalesce(F.col("n") - F.col("most"), F.lit(0)) / (F.size("phrases") + DOUBT))
     stitched = F.greatest(share, F.col("repeated"))
-    out = out.select("doc_id", "n_words", "list_share", "repeated", stitched.alias("stitched"))
-    spam = (F.col("n_words") >= LEAST) & ((F.col("list_share") > MOSTLY) | ((F.col("list_share") >= PARTLY) & (F.col("stitched") >= STITCHED)) | (F.col("repeated") >= STUFFED))
+    out = out.select("doc_id", "n_words", "list_share", "repeated", stitched.alias("stitched"), borrowed.alias("borrowed"))
+    spam = (F.col("n_words") >= LEAST) & ((F.col("list_share") > MOSTLY) | ((F.col("list_share") >= PARTLY) & (F.col("stitched") >= STITCHED)) | (F.col("list_share") + F.col("borrowed") >= MIXED) | (F.col("repeated") >= STUFFED))
     return out.withColumn("spam", spam)
 
 

@@ -234,3 +234,14 @@ def test_spam_kinds_and_their_lookalikes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(1))
     assert {r[0] for r in spam.flagged(df).collect()} == set(range(len(spam_)))
     assert spam.flagged(df.limit(0)).count() == 0
+
+
+def test_pages_stitched_from_other_hosts_are_spam_and_copies_are_not(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(3))
+    pages = [[f"The {word()} of the {word()} is {word()} and we {word()} it when {word()} has no {word()}." for _ in range(8)] for _ in range(12)]
+    rows = [(k, " ".join(p), f"host{k}") for k, p in enumerate(pages)]
+    rows += [(100, " ".join(p[k % 7] + " " + p[k % 7 + 1] for k, p in enumerate(pages)), "stitcher"), (101, rows[0][1], "mirror"), (102, rows[0][1], "mirror2")]
+    scores = {r["doc_id"]: r for r in spam.scored(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {d for d, r in scores.items() if r["spam"]} == {100}
+    assert scores[101]["stitched"] == 1.0 and scores[101]["borrowed"] < 0.2 and scores[100]["list_share"] == 0.0 and 0.05 < scores[3]["stitched"] < 0.5
