@@ -3,8 +3,10 @@
 Rows are deduplicated per (session, uuid), roles and times are read from their spellings, and each session is streamed
 in time order. For every row the rows before it (the last WINDOW of its session) are scored as candidate parents by
 elapsed time, mentions, lexical overlap, role turn and tool ids; the likeliest becomes its parent, or it starts a tree
-of its own. A session may span partitions: the order rule is folded from one small summary row per session and partition, and a
-partition's rows look for parents among the session's rows of the same partition.
+of its own. A session may span partitions: the order rule is folded from one small summary row per session and partition.
+For links, a session's rows are numbered over all partitions and cut into pieces of CHUNK rows, and each piece is handed
+the WINDOW rows before it; trees that go on from those rows get their root and depth from a fold over the handed rows
+alone, so the links do not depend on partitions or pieces.
 
 Defined results: rows without session or uuid are left out; of repeated rows the first received counts (ties: the
 smallest); rows of equal time are ordered by uuid; a text is visible if it holds more than white space; sessions
@@ -17,13 +19,17 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.plans.ordered import stream
+from anamnesis.plans.scratch import written
 
 WINDOW = 16  #: rows before a row that may be its parent
+CHUNK = 4096  #: rows of a session that are linked in one go
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "model": "assistant", "system": "system"}
 #: weights of the evidence for a reply link, and the score below which a row starts its own tree
 TURN, GAP_HALF_S, MENTION, OVERLAP, TOOL, NEAREST, ROOT = 2.0, 600.0, 1.5, 3.0, 6.0, 0.25, 1.2
@@ -163,13 +169,78 @@ def _streamed(m: DataFrame, links: bool, rows: int) -> DataFrame:
     return stream(m, ["session_id"], ["at", "uuid"], _thread(links), OUT, rows)
 
 
+MESSAGE = "session_id string, uuid string, at timestamp, role string, text string, tool_uses array<string>, tool_results array<string>"
+LINK = "session_id string, chunk long, uuid string, place long, at timestamp, role string, parent string, root string, depth int, score double, hangs boolean"
+
+
+def _numbered(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their partition and their number inside their session's part of it."""
+    last, n = None, 0
+    for b in batches:
+        number = np.empty(b.num_rows, np.int64)
+        for k, name in enumerate(b.column("session_id").to_pylist()):
+            n = n + 1 if name == last else 0
+            last, number[k] = name, n
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, block, np.int32)), pa.array(number)], names=[*b.schema.names, "block", "number"])
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the rows of each piece; hangs: root is a row handed over from the piece before, depth counts from it."""
+    names = [x.split()[0] for x in LINK.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.bool_()]
+    piece, s, handed = None, _Session(""), set()
+    for b in batches:
+        rows: list[tuple] = []
+        cols = [b.column(c).to_pylist() for c in ("session_id", "chunk", "place", "context", "uuid", "role", "text", "tool_uses", "tool_results")]
+        for at, name, chunk, place, context, uuid, who, text, uses, results in zip(b.column("at").cast(pa.int64()).to_pylist(), *cols):
+            if piece != (name, chunk):
+                piece, s, handed = (name, chunk), _Session(name), set()
+            row = s.link(uuid, at, who, text, set(uses), set(results))
+            if context:
+                handed.add(uuid)
+                s.window[-1] = (*s.window[-1][:6], uuid, 0)
+            else:
+                parent, root, depth, score = row[7:11]
+                rows.append((name, chunk, uuid, place, at, who, parent, root, depth, score, root in handed))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def _carried(rows: pd.DataFrame) -> pd.DataFrame:
+    """For the rows that each piece of a session hands over: their true root and depth."""
+    out, known, at = [], {}, None
+    now: dict = {}
+    for name, chunk, uuid, root, depth, hangs in rows.sort_values(["chunk", "place"])[["session_id", "chunk", "uuid", "root", "depth", "hangs"]].itertuples(index=False):
+        if chunk != at:
+            known, now, at = now, {}, chunk
+        if hangs:
+            root, depth = known[root][0], known[root][1] + depth
+        now[uuid] = (root, depth)
+        out.append((name, chunk + 1, uuid, root, depth))
+    return pd.DataFrame(out, columns=["session_id", "chunk", "root", "true_root", "above"])
+
+
 def linked(rows: DataFrame) -> DataFrame:
     """(session_id, uuid, place, at, role, parent, root, depth, score) for every row: the link trees.
 
-    place counts inside the part of the session that one partition holds; a session that spans partitions has trees
-    of its own in each (block tells them apart).
+    place counts in the whole session, and trees run through it whole.
     """
-    return _streamed(messages(rows), True, rows.count()).where("kind = 'row'").select("session_id", "uuid", "place", "at", "role", "parent", "root", "depth", "score")
+    m = messages(rows).select(*(x.split()[0] for x in MESSAGE.split(", ")))
+    m = written(stream(m, ["session_id"], ["at", "uuid"], _numbered, MESSAGE + ", block int, number long", rows.count()), "conversation-rows")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = m.groupBy("session_id", "block").agg(F.count("*").alias("n")).select("session_id", "block", before.alias("before"))
+    m = m.join(parts, ["session_id", "block"]).withColumn("place", F.col("before") + F.col("number")).drop("block", "number", "before")
+    chunk = F.floor(F.col("place") / CHUNK).cast("long")
+    tail = F.col("place") % CHUNK >= CHUNK - WINDOW
+    own = m.withColumn("chunk", chunk).withColumn("context", F.lit(False))
+    handed = m.where(tail).withColumn("chunk", chunk + 1).withColumn("context", F.lit(True))
+    pieces = own.unionByName(handed).repartition("session_id", "chunk").sortWithinPartitions("session_id", "chunk", "place")
+    links = written(pieces.mapInArrow(_links, LINK), "conversation-links")
+    carried = links.where(tail).groupBy("session_id").applyInPandas(_carried, "session_id string, chunk long, root string, true_root string, above int")
+    hanging = links.where("hangs").join(carried, ["session_id", "chunk", "root"]).withColumn("root", F.col("true_root")).withColumn("depth", F.col("depth") + F.col("above"))
+    names = ["session_id", "uuid", "place", "at", "role", "parent", "root", "depth", "score"]
+    out = links.where("not hangs").select(names).unionByName(hanging.select(names))
+    return out.withColumn("place", F.col("place").cast("int"))
 
 
 def usability(rows: DataFrame) -> DataFrame:

@@ -182,6 +182,21 @@ def test_long_conversations_over_partition_edges(spark, monkeypatch):
     assert conversations.left_out(spark.createDataFrame(rows[:-1], ROW)).count() == 1
 
 
+def test_reply_trees_run_over_partition_edges(spark, monkeypatch):
+    from anamnesis.plans import ordered
+
+    rng = random.Random(8)
+    rows = [message(s, f"u{k:04d}", f"2026-01-01T{k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}Z", rng.choice(["user", "assistant"]), f"text {rng.randint(0, 9)} {k}") for s, n in (("hot", 900), ("small", 40)) for k in range(n)]
+    df = spark.createDataFrame(rows, ROW)
+    whole = {(r["session_id"], r["uuid"]): tuple(r) for r in conversations.linked(df).collect()}
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    cut = {(r["session_id"], r["uuid"]): tuple(r) for r in conversations.linked(df).collect()}
+    monkeypatch.setattr(conversations, "CHUNK", 50)
+    pieces = {(r["session_id"], r["uuid"]): tuple(r) for r in conversations.linked(df).collect()}
+    assert len(whole) == len(rows) and whole == cut == pieces
+    assert sorted(x[2] for x in cut.values() if x[0] == "hot") == list(range(900)) and max(x[7] for x in cut.values()) > 60
+
+
 def test_best_fit_bounds_and_packing(spark, monkeypatch):
     rng = np.random.default_rng(0)
     for _ in range(40):
