@@ -28,7 +28,8 @@ from anamnesis.plans.scratch import written
 SAMPLE = 20_000  #: vectors the index is fitted on
 CELLS = 4096  #: most cells; otherwise the square root of the number of vectors
 MARGIN, LEAST = 0.4, 24  #: a query looks into cells within this similarity of the nearest one, and into so many at least
-RERANK = 64  #: codes of a block that are scored exactly for a query
+RERANK = 64  #: codes of a block that are scored exactly for a query, besides all that tie with the last of them
+TIE = 1e-3  #: scores that differ by less tie
 BLOCK = 16_384  #: vectors, and queries, that one group of a task holds
 T = 0.2  #: similarity above which scores matter, see eta()
 
@@ -260,9 +261,16 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
                 sim = np.round(np.einsum("qd,qcd->qc", x, d64[cand]), 6)
                 sim[(dids[cand] == ids[s : s + 512, None]) | (np.take_along_axis(scores, cand, 1) <= -9)] = -9
                 best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                sims = np.take_along_axis(sim, best, 1)
+                sims, best = np.take_along_axis(sim, best, 1), np.take_along_axis(cand, best, 1)
+                last = np.take_along_axis(scores, cand, 1).min(1) - TIE
+                for i in np.flatnonzero((last > -9) & ((scores >= last[:, None]).sum(1) > top)):
+                    c = np.flatnonzero(scores[i] >= last[i])
+                    all_ = np.round(d64[c] @ x[i], 6)
+                    all_[dids[c] == ids[s + i]] = -9
+                    first = np.argsort(-all_, kind="stable")[:k]
+                    sims[i], best[i] = all_[first], c[first]
                 row, col = np.nonzero(sims > -5)
-                hit = np.take_along_axis(cand, best, 1)[row, col]
+                hit = best[row, col]
                 out["id"].append(ids[s : s + 512][row])
                 out["other"].append(dids[hit])
                 out["similarity"].append(sims[row, col])

@@ -129,6 +129,18 @@ def test_neighbours_match_brute_force(spark):
     assert knn.pairs(df.limit(1), "name", "v", 16).count() == 0
 
 
+def test_neighbours_in_a_large_group_of_scaled_copies(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(300, 16)), rng.normal(size=16) * rng.uniform(0.2, 5, (300, 1))])[rng.permutation(600)].astype(np.float32)
+    rows = [(f"k{i:04d}", [float(v) for v in a]) for i, a in enumerate(x)]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(s, -9)
+    copies = [i for i in range(600) if (s[i] == 1).sum() > 200]
+    got = {(r["key"], r["neighbour"]) for r in knn.neighbours(spark.createDataFrame(rows, "name string, v array<float>"), "name", "v", 16).collect()}
+    assert len(copies) == 300 and {(f"k{i:04d}", f"k{j:04d}") for i in copies for j in np.argsort(-s[i], kind="stable")[:5]} <= got
+
+
 def test_quantiser_keeps_scores_of_close_pairs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 32)).astype(np.float32)
