@@ -21,12 +21,9 @@ def transcript_observations(s: SparkSession, d: str) -> DataFrame:
 
 def stream_event_windows(s: SparkSession, d: str) -> DataFrame:
     """Hourly counts of the event stream, taken in by a streaming query into files."""
-    path = new_dir(s, "event-windows")
     schema = table(s, d, "events").schema
     events = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    e = ingest.windowed(events, "ts", ["event_type"])
-    ingest.run_available(e, f"{path}/out", f"{path}/checkpoint")
-    return s.read.schema(e.schema).parquet(f"{path}/out")
+    return ingest.settled(ingest.windowed(events, "ts", ["event_type"]), ["started", "event_type"], new_dir(s, "event-windows"))
 
 
 def memory_notes(s: SparkSession, d: str) -> DataFrame:
@@ -59,14 +56,14 @@ SQL: dict[str, str] = {
         SELECT 'transcript_rows', session_id, uuid FROM transcript_rows
         WHERE session_id IS NOT NULL AND uuid IS NOT NULL GROUP BY session_id, uuid HAVING count(*) > 1""",
     "p7_kept": """
-        SELECT table_name, session_id, record_id, received_at, batch_id FROM (
-          SELECT 'raw_observations' AS table_name, session_id, obs_id AS record_id, received_at, batch_id,
-                 row_number() OVER (PARTITION BY obs_id ORDER BY received_at NULLS FIRST, batch_id NULLS FIRST, session_id NULLS FIRST) AS r
-          FROM raw_observations WHERE obs_id IS NOT NULL
-          UNION ALL
-          SELECT 'transcript_rows', session_id, uuid, received_at, batch_id,
-                 row_number() OVER (PARTITION BY session_id, uuid ORDER BY received_at NULLS FIRST, batch_id NULLS FIRST)
-          FROM transcript_rows WHERE session_id IS NOT NULL AND uuid IS NOT NULL) WHERE r = 1""",
+        WITH o AS (SELECT *, coalesce(tool_name, '') || chr(1) || coalesce(tool_input, '') || chr(1) || coalesce(tool_output, '') || chr(1) || coalesce(user_prompt, '') || chr(1) || coalesce(assistant_response, '') AS payload,
+                     row_number() OVER (PARTITION BY obs_id ORDER BY received_at NULLS FIRST, batch_id NULLS FIRST, session_id NULLS FIRST, tool_name NULLS FIRST, tool_input NULLS FIRST, tool_output NULLS FIRST,
+                       user_prompt NULLS FIRST, assistant_response NULLS FIRST) AS r FROM raw_observations WHERE obs_id IS NOT NULL),
+        t AS (SELECT *, coalesce(row_type, '') || chr(1) || coalesce(ts, '') || chr(1) || coalesce(message_role, '') AS payload,
+                     row_number() OVER (PARTITION BY session_id, uuid ORDER BY received_at NULLS FIRST, batch_id NULLS FIRST, row_type NULLS FIRST, ts NULLS FIRST, message_role NULLS FIRST) AS r
+              FROM transcript_rows WHERE session_id IS NOT NULL AND uuid IS NOT NULL)
+        SELECT 'raw_observations' AS table_name, session_id, obs_id AS record_id, received_at, batch_id, payload FROM o WHERE r = 1
+        UNION ALL SELECT 'transcript_rows', session_id, uuid, received_at, batch_id, payload FROM t WHERE r = 1""",
     "transcript_observations": """
         WITH o AS (SELECT DISTINCT ON (session_id, uuid) session_id, uuid, row_type, message_content FROM transcript_rows WHERE session_id IS NOT NULL AND uuid IS NOT NULL),
         b AS (SELECT session_id, row_type, unnest(message_content) AS b FROM o),
@@ -74,6 +71,7 @@ SQL: dict[str, str] = {
                 WHEN b.block_type = 'tool_use' THEN 'pre_tool_use' WHEN b.block_type = 'text' AND row_type = 'user' THEN 'prompt_submit' WHEN b.block_type = 'text' AND row_type = 'assistant' THEN 'stop' END AS hook_type,
                 length(coalesce(b.text, b.tool_input, b.result_text)) AS n FROM b WHERE b.block_type <> 'text' OR regexp_matches(b.text, '\\S'))
         SELECT session_id, hook_type, count(*) AS n, sum(n)::BIGINT AS chars FROM h WHERE hook_type IS NOT NULL GROUP BY ALL""",
+    "stream_event_windows": "SELECT date_trunc('hour', ts::TIMESTAMP) AS started, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "memory_notes": """SELECT 'memories/' || memory_id || '.md' AS path, sha256(concat_ws(chr(10), '---', 'id: ' || memory_id, 'type: ' || coalesce(memory_type, 'fact'), 'concepts: [' || array_to_string(coalesce(concepts, []), ', ') || ']',
         'files: [' || array_to_string(coalesce(files, []), ', ') || ']', '---') || chr(10) || chr(10) || '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(content, '') || chr(10)) AS text_hash
         FROM memories WHERE memory_id IS NOT NULL AND coalesce(is_latest, true)""",

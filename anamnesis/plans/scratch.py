@@ -6,21 +6,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_made: list[tuple[SparkSession, str]] = []
 
 
 def base_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and removed at exit.
+    Where the setting is absent, a session of one machine (master local or local[n]) gets a temporary folder that is
+    removed at exit. Any other session is refused: its executors share no such folder.
     """
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="anamnesis-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -28,7 +35,28 @@ def base_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file of the session's file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables made inside it; results must have been written or read by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for owner, path in _made[before:]:
+            if owner is spark:
+                remove(spark, path)
+        del _made[before:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from anamnesis.functions import text as T
 
@@ -68,3 +69,18 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def settled(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Takes in what is there and gives the last state of every key of an aggregating stream, open windows included.
+
+    Every epoch writes the keys it changed under its own number (again after a failure), and the last number counts.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    rest = [c for c in columns if c not in keys]
+    schema = StructType([*stream.schema.fields, StructField("epoch", LongType())])
+    take = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/changes/epoch={n}")
+    stream.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(schema).parquet(f"{path}/changes")
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last"))
+    return last.select(*keys, "last.*").select(*columns)

@@ -48,6 +48,31 @@ def test_a_replayed_batch_changes_nothing(spark, folder):
     assert d.epochs == [0, 1] and d.kept.count() == 2 and d.suppressed.agg(F.sum("n")).first()[0] == 4
 
 
+def test_a_stored_table_is_replayed_in_several_epochs(spark, folder):
+    rows = [(f"i{k % 97}", k % 28 + 1, k, f"b{k}") for k in range(400)] + [("i3", None, None, "no delivery time")]
+    deliver(spark, folder, [rows])
+    got = exactly_once.run(spark, f"file://{folder}/t.parquet", ["id"], "ts", ["got"], ["body"], slices=4, delay="1 day")
+    assert len(got.epochs) == 4
+    kept = {r["id"]: r["body"] for r in got.kept.collect()}
+    assert got.kept.count() == 97 and kept["i0"] == "b0" and kept["i96"] == "b96" and kept["i3"] == "no delivery time"
+    assert got.suppressed.agg(F.sum("n")).first()[0] == len(rows) - 97
+
+
+def test_archive_parts_are_merged(spark, folder):
+    store = exactly_once.SeenStore(spark, f"file://{folder}/store", ["id"], "id string", "1 second")
+    for e in range(9):
+        batch = spark.createDataFrame([(f"{e}-{k}", e * 100) for k in range(5)] + [("0-0", 0)], "id string, got int")
+        store.step(batch.select("id", F.timestamp_seconds("got").alias("event_time"), F.struct("got", "id").alias("row")), e)
+    assert len(store.state()["archive"]) <= 5 and len(os.listdir(f"{folder}/store/commits")) <= 4  # names and checksums
+    d = exactly_once.Delivered(spark, store.path, store.committed(), "got int, id string", "id string")
+    assert d.kept.count() == 45 and d.suppressed.agg(F.sum("n")).first()[0] == 9
+
+
+def test_stored_queries_take_several_epochs(spark, sf):
+    assert len(exactly_once.raw_observations(spark, sf).epochs) >= 3
+    assert len(exactly_once.transcript_rows(spark, sf).epochs) >= 3
+
+
 def test_nothing_delivered(spark, folder):
     deliver(spark, folder, [[]])
     d = exactly_once.run(spark, f"file://{folder}/t.parquet", ["id"], "ts", ["got"])
