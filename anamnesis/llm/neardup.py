@@ -1,19 +1,24 @@
 """Groups of records whose word sets are nearly the same: an exact set-similarity join by vertical partitioning.
 
-The words of all records are put into one global order, rare ones first, and that order is cut into fragments.
-A pair of similar records must share a word near the front of both records, so candidates are found inside the
-fragments that hold those words. For each candidate the overlap is then counted separately in every fragment and
-the partial overlaps are summed per pair.
+The words of all records are put into one global order, rare ones first, and that order is cut by pivots into FRAGMENTS
+of about equal mass, so every record falls into segments, one in each fragment that holds some of its words.
+
+* A pair of similar records must share a word near the front of both records. Each fragment is searched for pairs by
+  the front words that it holds, and a pair is attributed to the fragment of its first common word.
+* Segments are moved once per fragment. In every fragment from there on the two segments of a pair are intersected on
+  their own, and the partial overlaps are summed per pair; earlier fragments hold no common word.
 
 What keeps it linear in rows and bounded in every task:
 
 * records with equal word sets collapse to one class before anything is joined (copies are never paired);
-* the order comes from a count sketch of fixed size, so no vocabulary is joined or broadcast;
+* the order comes from a count sketch whose number of counters follows the number of records (up to MOST_BITS), so no
+  vocabulary is joined or broadcast; words that only one record has join nothing and are in no segment;
 * of two records of n and m words at most D = n + m - 2*ceil(t/(1+t)*(n+m)) words may differ. Their first common
   word, at places i and j, therefore has i + j <= D. Postings are sorted by i - n*(1-t)/(1+t), which turns this
   into a range, so only pairs inside the range are ever looked at;
 * a 128-bit parity signature bounds the number of differing words from below and drops nearly all other pairs;
-* the postings of a frequent word are cut into blocks and the block pairs are spread over tasks.
+* the postings of a frequent word are cut into blocks and the block pairs are spread over tasks;
+* where pairs of records are listed, the members of large classes are cut into parts of PART.
 
 Defined results: null and blank texts, and texts without any letter or digit, are left out; several rows of one id
 count as one record (the one whose set has the smallest hash); an empty table gives no rows; other columns are ignored.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +38,13 @@ from pyspark.sql import functions as F
 from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
-SKETCH_BITS = 21
-SKETCH = 1 << SKETCH_BITS  #: counters of the sketch; 8 MB however large the corpus
+LEAST_BITS, MOST_BITS = 16, 24  #: counters of the sketch; a byte each, so at most 16 MB are sent to every task
+STEPS = 4  #: levels of a counter for each doubling
 BLOCK = 4096  #: postings of one word in one block of a block pair
 PIECE = 1_000_000  #: words handled at once
-FRAGMENTS = 16  #: pieces of the global order
+PAIRS = 1_000_000  #: places of postings compared at once
+FRAGMENTS = 4  #: pieces of the global order
+PART = 4096  #: members of a class that are listed against others in one go
 
 
 def words(text: Column) -> Column:
@@ -44,38 +52,56 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
 
 
-def classes(records: DataFrame, field: str = "field_name", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Membership (field, id, class_id), one row per distinct word set (class_id, hashes), and how often words are used.
+@dataclass
+class Order:
+    """The global order of words: by level of their counter, then by hash."""
 
-    Words are 64-bit hashes of field and word from here on, and class_id is a hash of the set, so sets of different
-    fields have no word in common.
-    """
-    r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
-    r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
-    r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
-    members = r.groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
-    return members, r.groupBy("class_id").agg(F.first("hashes").alias("hashes")), word_counts(r)
+    level: np.ndarray  #: per counter: 0 for words of one record, else a bound of the count as a level
+    pivots: np.ndarray  #: ranks at which fragments begin
 
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        return self.level[h & (len(self.level) - 1)] + (h.view(np.uint64) >> np.uint64(11)) / 2.0**53
 
-def word_counts(rows: DataFrame) -> np.ndarray:
-    """How many rows have a word, in SKETCH counters: a word's counter never falls short of its count."""
+    def fragment(self, rank: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pivots, rank, side="right")
+
+
+def order(rows: DataFrame, records: int, fragments: int) -> Order:
+    """Counts in how many rows each word stands, and cuts the order that follows from it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(records, 1) * 8))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 0, PIECE):
-            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & (SKETCH - 1), return_counts=True)
+            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & ((1 << bits) - 1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["slot", "n"])
 
-    counted = rows.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    out = np.ones(SKETCH, np.int32)
-    out[counted["slot"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 2**31 - 1)
-    return out
+    counted = rows.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level"), "n")
+    level = np.zeros(1 << bits, np.int8)
+    mass = np.zeros(128)
+    for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect():  # a row for each level
+        mass[r["level"]] = r["n"]
+    got = counted.select("slot", "level").toPandas()  # five bytes a counter
+    level[got["slot"].to_numpy()] = got["level"].to_numpy()
+    total = np.cumsum(mass)
+    cuts = total[-1] * np.arange(1, fragments) / fragments
+    at = np.searchsorted(total, cuts)
+    pivots = at + (cuts - (total[at] - mass[at])) / np.maximum(mass[at], 1) if total[-1] else np.zeros(0)
+    return Order(level, np.sort(np.asarray(pivots, float)))
 
 
-def _ordered(h: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of many records sorted by record, then global order (count, hash); also their counts."""
-    c = counts[h & (SKETCH - 1)]
-    o = np.lexsort((h, c, owner))
-    return h[o], owner[o], c[o]
+def classes(records: DataFrame, fragments: int = FRAGMENTS, field: str = "field_name", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, Order]:
+    """Membership (field, id, class_id), one row per distinct word set (class_id, hashes), and the order of words.
+
+    Words are 64-bit hashes of field and word from here on, and class_id is a hash of the set, so sets of different
+    fields have no word in common.
+    """
+    n = records.count()
+    r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
+    r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
+    members = r.groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
+    return members, r.groupBy("class_id").agg(F.first("hashes").alias("hashes")), order(r, n, fragments)
 
 
 def required(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
@@ -83,29 +109,37 @@ def required(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
 
 
-def _postings(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """A row for each word near a record's front: the word, the record's size, the word's place, the signature."""
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+def _sorted_words(b: pa.RecordBatch, words_: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of a batch's sets; their words in global order with owner and rank."""
+    lists = b.column(1)
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # offsets of a slice start at its first row
+    h, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+    rank = words_.rank(h)
+    o = np.lexsort((h, rank, owner))
+    return n, h[o], owner[o], rank[o]
+
+
+def _postings(sets: DataFrame, words_: Order, t: float) -> DataFrame:
+    """A row for each word near a record's front: fragment, word, the record's size, the word's place, the signature."""
+    shared = sets.sparkSession.sparkContext.broadcast(words_)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cnt = shared.value
+        w_ = shared.value
         for b in bounded(batches, 1, PIECE):
-            lists = b.column(1)
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # offsets of a slice start at its first row
-            if not len(n):
+            if not b.num_rows:
                 continue
-            h, owner, c = _ordered(lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), cnt)
+            n, h, owner, rank = _sorted_words(b, w_)
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
             place = np.arange(len(h)) - start[owner]
-            bit = (h >> SKETCH_BITS) & 127
+            bit = (h >> 40) & 127
             sig = np.zeros((len(n), 2), np.uint64)
             for half in (0, 1):
                 inside = (bit >> 6) == half
                 np.bitwise_xor.at(sig[:, half], owner[inside], np.uint64(1) << (bit[inside] & 63).astype(np.uint64))
             # the smallest partner has ceil(t*n) words, all of them shared; a word of one record joins nothing
-            keep = (place <= n[owner] - np.ceil(t * n - 1e-9).astype(np.int64)[owner]) & (c > 1)
-            at, w, c = owner[keep], h[keep], c[keep]
-            blocks = np.maximum(1, -(-c.astype(np.int64) // BLOCK))
+            keep = (place <= n[owner] - np.ceil(t * n - 1e-9).astype(np.int64)[owner]) & (rank >= 1)
+            at, w, r = owner[keep], h[keep], rank[keep]
+            blocks = np.maximum(1, np.ceil(2.0 ** (np.floor(r) / STEPS) / BLOCK)).astype(np.int64)
             ids = b.column(0).to_numpy(zero_copy_only=False)
             mine = ((ids[at].view(np.uint64) >> np.uint64(20)) % blocks.astype(np.uint64)).astype(np.int64)
             # block pairs (mine, other), the smaller first; side tells in which of the two blocks a record lies
@@ -114,62 +148,72 @@ def _postings(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
             x, y = np.minimum(mine[row], other), np.maximum(mine[row], other)
             a = at[row]
             meta = (n[a] << 32) | (place[keep][row] << 1) | (mine[row] == y)
-            cols = [w[row], (x << 32) | y, ids[a], meta, sig[a, 0].view(np.int64), sig[a, 1].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "pair", "class_id", "meta", "s0", "s1"])
-
-    return sets.select("class_id", "hashes").mapInArrow(post, "word long, pair long, class_id long, meta long, s0 long, s1 long")
-
-
-def _near(a: dict, lo: int, hi: int, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of pairs in one word's postings [lo, hi) that may be similar."""
-    meta = a["meta"][lo:hi]
-    n, place, block = meta >> 32, (meta & 0xFFFFFFFF) >> 1, meta & 1
-    slack = (1 - t) / (1 + t)
-    x = place - slack * n
-    o = np.argsort(x, kind="stable")
-    x, n, place, block = x[o], n[o], place[o], block[o]
-    s0, s1, ids = a["s0"][lo:hi][o], a["s1"][lo:hi][o], a["class_id"][lo:hi][o]
-    two = a["pair"][lo] >> 32 != a["pair"][lo] & 0xFFFFFFFF
-    upto = np.minimum(np.searchsorted(x, -x + 1e-6, side="right"), np.arange(len(x)))  # partners before oneself in the order
+            cols = [w_.fragment(r)[row].astype(np.int32), w[row], (x << 32) | y, ids[a], meta, sig[a, 0].view(np.int64), sig[a, 1].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=POSTING)
+
+    return sets.select("class_id", "hashes").mapInArrow(post, "fragment int, word long, pair long, class_id long, meta long, s0 long, s1 long")
+
+
+POSTING = ["fragment", "word", "pair", "class_id", "meta", "s0", "s1"]
+
+
+def _near(a: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller id, larger id, fragment) of pairs in postings of whole words that may be similar, all words at once."""
+    new = np.concatenate([[True], (np.diff(a["word"]) != 0) | (np.diff(a["pair"]) != 0)])
+    g = np.cumsum(new) - 1
+    several = np.bincount(g)[g] > 1
+    a, g = {c: v[several] for c, v in a.items()}, g[several]
+    if not len(g):
+        return
+    n, place, block = a["meta"] >> 32, (a["meta"] & 0xFFFFFFFF) >> 1, a["meta"] & 1
+    x = place - (1 - t) / (1 + t) * n
+    o = np.lexsort((x, g))
+    g, x, n, place, block = g[o], x[o], n[o], place[o], block[o]
+    s0, s1, ids, frag = a["s0"][o].view(np.uint64), a["s1"][o].view(np.uint64), a["class_id"][o], a["fragment"][o]
+    two = (a["pair"] >> 32 != a["pair"] & 0xFFFFFFFF)[o]
+    wide = 4 * float(np.abs(x).max() + 1)  # keeps words apart on one line
+    line = g * wide + x
+    first = np.searchsorted(g, g, side="left")
+    # partners: places before oneself in the order, up to the range's end
+    upto = np.minimum(np.searchsorted(line, g * wide - x + 1e-6, side="right"), np.arange(len(x))) - first
+    upto = np.maximum(upto, 0)
+    ends = np.cumsum(upto)
     k, size = 0, len(x)
     while k < size:
-        e, total = k, 0
-        while e < size and (e == k or total + upto[e] <= 1_000_000):
-            total += upto[e]
-            e += 1
+        e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, side="right")))
+        u = upto[k:e]
+        total = int(u.sum())
         if total:
-            i = np.repeat(np.arange(k, e), upto[k:e])
-            j = np.arange(total) - np.repeat(np.cumsum(upto[k:e]) - upto[k:e], upto[k:e])
+            i = np.repeat(np.arange(k, e), u)
+            j = np.arange(total) - np.repeat(np.cumsum(u) - u, u) + first[i]
             most = n[i] + n[j] - 2 * required(n[i], n[j], t)
-            ok = (place[i] + place[j] <= most) & (t * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]) + 1e-9) & (ids[i] != ids[j])
-            if two:
-                ok &= block[i] != block[j]
+            ok = (place[i] + place[j] <= most) & (t * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]) + 1e-9) & (ids[i] != ids[j]) & (~two[i] | (block[i] != block[j]))
             i, j, most = i[ok], j[ok], most[ok]
             ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= most
             i, j = i[ok], j[ok]
-            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            if len(i):
+                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), frag[i]
         k = e
 
 
-def candidates(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """Pairs of classes (a, b) that may reach similarity t; none that does is missing."""
-    names = ["word", "pair", "class_id", "meta", "s0", "s1"]
+def candidates(sets: DataFrame, words_: Order, t: float) -> DataFrame:
+    """Pairs of classes (a, b, fragment of their first common word) that may reach similarity t; none that does is missing."""
 
     def groups(tab: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a = tab | {c: tab[c].view(np.uint64) for c in ("s0", "s1")}
-        bounds = np.concatenate([[0], np.flatnonzero((np.diff(a["word"]) != 0) | (np.diff(a["pair"]) != 0)) + 1, [len(a["word"])]])
-        some = np.flatnonzero(np.diff(bounds) > 1)
-        found = [p for k in some for p in _near(a, bounds[k], bounds[k + 1], t) if len(p[0])]
+        found = list(_near(tab, t))
         if found:
-            p = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            x, y, f = (np.concatenate(c) for c in zip(*found))
+            o = np.lexsort((f, y, x))
+            x, y, f = x[o], y[o], f[o]
+            keep = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep]), pa.array(f[keep])], names=["a", "b", "fragment"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         size = 0
-        whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in names}
+        whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in POSTING}
         for b in batches:
-            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in names})
+            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in POSTING})
             size += b.num_rows
             if size < 60_000:
                 continue
@@ -183,61 +227,73 @@ def candidates(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
             yield from groups(whole())
 
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores(sets.sparkSession) * 4)
-    p = _postings(sets, counts, t).repartition(parts, "word", "pair").sortWithinPartitions("word", "pair")
-    return p.mapInArrow(join, "a long, b long").distinct()
+    keys = ["fragment", "word", "pair"]
+    p = _postings(sets, words_, t).repartition(parts, *keys).sortWithinPartitions(*keys)
+    return p.mapInArrow(join, "a long, b long, fragment int").groupBy("a", "b").agg(F.min("fragment").alias("fragment"))
+
+
+def segments(sets: DataFrame, words_: Order) -> DataFrame:
+    """(class_id, fragment, n, words): each set cut by fragments, without the words that no other set has."""
+    shared = sets.sparkSession.sparkContext.broadcast(words_)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w_ = shared.value
+        for b in bounded(batches, 1, PIECE):
+            if not b.num_rows:
+                continue
+            n, h, owner, rank = _sorted_words(b, w_)
+            keep = rank >= 1
+            h, owner, f = h[keep], owner[keep], w_.fragment(rank[keep])
+            if not len(h):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(f) != 0)]))
+            at = owner[start]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(h)).astype(np.int32)), pa.array(h))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(f[start].astype(np.int32)), pa.array(n[at].astype(np.int32)), lists], names=["class_id", "fragment", "n", "words"])
+
+    return sets.select("class_id", "hashes").mapInArrow(cut, "class_id long, fragment int, n int, words array<long>")
 
-def similar_classes(sets: DataFrame, counts: np.ndarray, t: float = 0.7, fragments: int = FRAGMENTS) -> DataFrame:
+
+def similar_classes(sets: DataFrame, words_: Order, t: float = 0.7) -> DataFrame:
     """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
-    order = np.sort(counts[counts > 1].astype(np.int64))
-    mass = np.cumsum(order)
-    # pivots cut the global order into fragments of about equal numbers of word occurrences
-    pivots = np.unique(order[np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)]) if len(order) else np.zeros(0, np.int64)
-    found = candidates(sets, counts, t)
-    side = lambda s: sets.select(F.col("class_id").alias(s), F.col("hashes").alias(f"h{s}"))
-    pairs = found.join(side("a"), "a").join(side("b"), "b")
-    shared = sets.sparkSession.sparkContext.broadcast((counts, pivots))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cnt, piv = shared.value
-        for b in bounded(batches, "ha", PIECE):
-            ha, hb = b.column("ha"), b.column("hb")
-            na, nb = np.diff(ha.offsets.to_numpy()), np.diff(hb.offsets.to_numpy())
-            who = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-            h = np.concatenate([ha.flatten().to_numpy(zero_copy_only=False), hb.flatten().to_numpy(zero_copy_only=False)])
-            o = np.lexsort((h, who))
-            h, who = h[o], who[o]
-            both = np.flatnonzero((h[1:] == h[:-1]) & (who[1:] == who[:-1]))
-            frag = np.searchsorted(piv, cnt[h[both] & (SKETCH - 1)])
-            partial = np.bincount(who[both] * (len(piv) + 1) + frag, minlength=len(na) * (len(piv) + 1)).reshape(len(na), -1)
-            overlap = partial.sum(1)
-            sim = overlap / np.maximum(na + nb - overlap, 1)
-            keep = np.flatnonzero(sim >= t - 1e-12)
-            at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(sim[keep])], names=["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, similarity double")
+    pairs = candidates(sets, words_, t).withColumnRenamed("fragment", "first")
+    cut = segments(sets, words_)
+    side = lambda s: cut.select(F.col("class_id").alias(s), "fragment", F.col("n").alias(f"n{s}"), F.col("words").alias(f"w{s}"))
+    both = pairs.join(side("a"), "a").where("fragment >= first").join(side("b"), ["b", "fragment"])
+    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("wa", "wb")).alias("common"))
+    total = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return total.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+
+
+def _listed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with the part of their class they are in, and the number of parts of the classes that have several."""
+    large = members.groupBy("class_id").count().where(F.col("count") > PART).select("class_id", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    m = members.join(large, "class_id", "left")
+    return m.select("field", "id", "class_id", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), "parts")).otherwise(0).cast("int").alias("part")), large
 
 
 def similar_records(records: DataFrame, t: float = 0.7) -> DataFrame:
     """All pairs of records (field_name, id_a, id_b), id_a < id_b, with similarity >= t, members of equal sets included."""
-    members, sets, counts = classes(records)
-    members = written(members, "neardup-members")
-    links = similar_classes(sets, counts, t).select("a", "b")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = members.select("field", F.col("class_id").alias("a"), F.col("id").alias("id_a"))
-    right = members.select(F.col("class_id").alias("b"), F.col("id").alias("id_b"))
-    between = both.join(left, "a").join(right, "b").select("field", "id_a", "id_b")
-    within = left.join(right.withColumnRenamed("b", "a"), "a").select("field", "id_a", "id_b")
-    return between.unionByName(within).where("id_a < id_b").withColumnRenamed("field", "field_name")
+    members, sets, words_ = classes(records)
+    members, large = _listed(written(members, "neardup-members"))
+    links = similar_classes(sets, words_, t).select("a", "b")
+    several = members.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    out = links.unionByName(several)
+    for s in ("a", "b"):  # every part of a class meets every part of the other one
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        out = out.join(large.withColumnRenamed("class_id", s), s, "left").select(*(c for c in out.columns), parts.alias("part"))
+        who = members.select(F.col("class_id").alias(s), "part", F.col("id").alias(f"id_{s}"), *(["field"] if s == "a" else []))
+        out = out.join(who, [s, "part"]).drop("part")
+    x, y = F.col("id_a"), F.col("id_b")
+    out = out.where((F.col("a") != F.col("b")) | (x < y))
+    return out.select(F.col("field").alias("field_name"), F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"))
 
 
 def groups(records: DataFrame, t: float = 0.7) -> DataFrame:
-    """One row per record: (field_name, id, class_id, links), links counting the other word sets similar to its own."""
-    members, sets, counts = classes(records)
-    links = similar_classes(sets, counts, t)
+    """One row per record: (field_name, id, class_id, links); a class is named by its smallest id, and links counts the other word sets similar to its own."""
+    members, sets, words_ = classes(records)
+    links = similar_classes(sets, words_, t)
     ends = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id")))
     n = ends.groupBy("class_id").agg(F.count("*").alias("links"))
-    return members.join(n, "class_id", "left").select(
-        F.col("field").alias("field_name"), "id", F.format_string("%016x", "class_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
-    )
+    named = members.groupBy("class_id").agg(F.min("id").alias("name")).join(n, "class_id", "left")
+    return members.join(named, "class_id").select(F.col("field").alias("field_name"), "id", F.col("name").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

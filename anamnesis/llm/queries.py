@@ -125,6 +125,15 @@ SQL: dict[str, str] = {
         p AS (SELECT a.field_name, a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
               FROM t a JOIN t b ON a.field_name = b.field_name AND a.word = b.word AND a.id < b.id AND a.n >= 0.699 * b.n AND b.n >= 0.699 * a.n GROUP BY ALL)
         SELECT field_name, id_a, id_b FROM p WHERE common * 10 >= 7 * (na + nb - common)""",
+    "p4_groups": r"""
+        WITH r AS (SELECT 'content' AS field_name, memory_id AS id, content AS text FROM memories UNION ALL SELECT 'narrative', obs_id, narrative FROM file_history UNION ALL SELECT 'summary', session_id, summary FROM sessions),
+        w AS (SELECT field_name, id, list_sort(list_distinct(regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+'))) AS w FROM r WHERE id IS NOT NULL AND regexp_matches(text, '[\p{L}\p{N}]') GROUP BY field_name, id),
+        c AS (SELECT field_name, w, min(id) AS class_id FROM w GROUP BY ALL),
+        t AS (SELECT field_name, class_id, len(w) AS n, unnest(w) AS word FROM c),
+        p AS (SELECT a.field_name, a.class_id, b.class_id AS other, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+              FROM t a JOIN t b ON a.field_name = b.field_name AND a.word = b.word AND a.class_id <> b.class_id AND a.n >= 0.699 * b.n AND b.n >= 0.699 * a.n GROUP BY ALL),
+        l AS (SELECT field_name, class_id, count(*) AS links FROM p WHERE common * 10 >= 7 * (na + nb - common) GROUP BY ALL)
+        SELECT w.field_name, w.id, c.class_id, coalesce(l.links, 0) AS links FROM w JOIN c USING (field_name, w) LEFT JOIN l USING (field_name, class_id)""",
     "p5_found": r"""
         WITH o AS (SELECT DISTINCT ON (session_id, uuid) session_id, uuid, trim(ts) AS ts, lower(trim(message_role)) AS role, coalesce(message_content, []) AS c
                    FROM transcript_rows WHERE session_id IS NOT NULL AND uuid IS NOT NULL ORDER BY session_id, uuid, received_at, batch_id),

@@ -27,9 +27,12 @@ def brute_pairs(rows, t=0.7):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_similar_records_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, fragments, part", [(4096, 4, 4096), (3, 1, 2), (3, 7, 2)])
+def test_similar_records_match_brute_force(spark, monkeypatch, block, fragments, part):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PART", part)
+    monkeypatch.setattr(neardup, "PAIRS", 50)
+    monkeypatch.setattr(neardup.classes, "__defaults__", (fragments, *neardup.classes.__defaults__[1:]))
     rng = random.Random(5)
     words = [f"w{k}" for k in range(40)]
     rows = []
@@ -47,10 +50,31 @@ def test_similar_records_match_brute_force(spark, monkeypatch, block):
 def test_groups_count_links_between_classes(spark):
     rows = [("f", "a", "one two three four five six seven eight nine ten"), ("f", "b", "one two three four five six seven eight nine eleven"), ("f", "c", "ten nine eight seven six five four three two one"), ("f", "d", "alone")]
     got = {r["id"]: r for r in neardup.groups(spark.createDataFrame(rows, TEXT)).collect()}
-    assert got["a"]["class_id"] == got["c"]["class_id"] != got["b"]["class_id"]
+    assert got["a"]["class_id"] == got["c"]["class_id"] == "a" != got["b"]["class_id"]
     assert [got[k]["links"] for k in "abcd"] == [1, 1, 1, 0]
 
 
+def test_overlaps_are_summed_over_fragments(spark):
+    """Each fragment counts its own part of the overlap; without the later ones similar pairs are missed."""
+    base = [f"w{k:02d}" for k in range(20)]
+    rows = [("f", "a", " ".join(base)), ("f", "b", " ".join([*base[:19], "x1"])), ("f", "c", " ".join([*base[1:], "x1"]))] + [("f", f"n{k}", " ".join(base[k % 7 : k % 7 + 3])) for k in range(12)]
+    members, sets, words_ = neardup.classes(spark.createDataFrame(rows, TEXT), fragments=4)
+    assert len(words_.pivots) == 3
+    cut = neardup.segments(sets, words_).collect()
+    assert len({r["fragment"] for r in cut}) > 1 and len(cut) > sets.count()
+    sizes = {r["class_id"]: r["n"] for r in cut}
+    assert all(sum(len(r["words"]) for r in cut if r["class_id"] == c) <= n for c, n in sizes.items())
+    whole = {tuple(r) for r in neardup.similar_classes(sets, words_, 0.7).select("a", "b").collect()}
+    only = neardup.Order(words_.level, words_.pivots)
+    keep = neardup.segments
+    try:
+        neardup.segments = lambda s, w: keep(s, w).where("fragment = 0")
+        part = {tuple(r) for r in neardup.similar_classes(sets, only, 0.7).select("a", "b").collect()}
+    finally:
+        neardup.segments = keep
+    assert len(whole) == 3 and part < whole
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_records(spark.createDataFrame([], TEXT)).count() == 0
 
