@@ -10,7 +10,7 @@ of about equal mass, so every record falls into segments, one in each fragment t
 
 What keeps it linear in rows and bounded in every task:
 
-* records with equal word sets collapse to one class before anything is joined (copies are never paired);
+* records with equal word sets form one class, and only classes are joined (copies are never paired);
 * the order comes from a count sketch whose number of counters follows the number of records (up to MOST_BITS), so no
   vocabulary is joined or broadcast; words that only one record has join nothing and are in no segment;
 * of two records of n and m words at most D = n + m - 2*ceil(t/(1+t)*(n+m)) words may differ. Their first common
@@ -42,7 +42,7 @@ LEAST_BITS, MOST_BITS = 16, 24  #: counters of the sketch; a byte each, so at mo
 STEPS = 4  #: levels of a counter for each doubling
 BLOCK = 4096  #: postings of one word in one block of a block pair
 PIECE = 1_000_000  #: words handled at once
-PAIRS = 1_000_000  #: places of postings compared at once
+PAIRS = 65_536  #: places of postings compared at once; their columns stay in the cache
 FRAGMENTS = 4  #: pieces of the global order
 PART = 4096  #: members of a class that are listed against others in one go
 
@@ -66,61 +66,65 @@ class Order:
         return np.searchsorted(self.pivots, rank, side="right")
 
 
-def order(rows: DataFrame, records: int, fragments: int) -> Order:
-    """Counts in how many rows each word stands, and cuts the order that follows from it."""
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(records, 1) * 8))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 0, PIECE):
-            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & ((1 << bits) - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+def classes(records: DataFrame, fragments: int = FRAGMENTS, field: str = "field_name", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, Order]:
+    """Membership (field, id, class_id), the word sets (class_id, hashes), and the order of words.
 
-    counted = rows.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level"), "n")
+    Words are 64-bit hashes of field and word from here on, and class_id is a hash of the set, so sets of different
+    fields have no word in common. Sets of copies repeat here; whatever is made of them names each class once a batch
+    before it is shuffled, and once in all after that.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(records.count(), 1) * 8))))
+    r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
+    r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
+    names = ["field", "id", "class_id", "slot", "n"]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The membership of each row, and how many rows of a batch use each counter."""
+        for b in bounded(batches, "hashes", PIECE):
+            at, n = np.unique(b.column("hashes").flatten().to_numpy(zero_copy_only=False) & ((1 << bits) - 1), return_counts=True)
+            void = lambda k, kind: pa.nulls(k, kind)
+            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("id"), b.column("class_id"), void(b.num_rows, pa.int32()), void(b.num_rows, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([void(len(at), pa.string()), void(len(at), pa.string()), void(len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(n)], names=names)
+
+    tallied = written(r.mapInArrow(tally, "field string, id string, class_id long, slot int, n long"), "neardup-tally")
+    members = tallied.where("id is not null").groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
+    counted = tallied.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    got = counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level")).toPandas()  # five bytes a counter
     level = np.zeros(1 << bits, np.int8)
-    mass = np.zeros(128)
-    for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect():  # a row for each level
-        mass[r["level"]] = r["n"]
-    got = counted.select("slot", "level").toPandas()  # five bytes a counter
     level[got["slot"].to_numpy()] = got["level"].to_numpy()
+    mass = np.bincount(level, minlength=128) * 2.0 ** (np.arange(128) / STEPS)
+    mass[0] = 0
     total = np.cumsum(mass)
     cuts = total[-1] * np.arange(1, fragments) / fragments
     at = np.searchsorted(total, cuts)
     pivots = at + (cuts - (total[at] - mass[at])) / np.maximum(mass[at], 1) if total[-1] else np.zeros(0)
-    return Order(level, np.sort(np.asarray(pivots, float)))
-
+    return members, r.select("class_id", "hashes"), Order(level, np.sort(np.asarray(pivots, float)))
 
-def classes(records: DataFrame, fragments: int = FRAGMENTS, field: str = "field_name", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, Order]:
-    """Membership (field, id, class_id), one row per distinct word set (class_id, hashes), and the order of words.
 
-    Words are 64-bit hashes of field and word from here on, and class_id is a hash of the set, so sets of different
-    fields have no word in common.
-    """
-    n = records.count()
-    r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
-    r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
-    r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
-    members = r.groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
-    return members, r.groupBy("class_id").agg(F.first("hashes").alias("hashes")), order(r, n, fragments)
+def _sorted_words(b: pa.RecordBatch, words_: Order) -> tuple[np.ndarray, ...]:
+    """Classes of a batch, each once, with their sizes; their words in global order with owner and rank."""
+    ids, row = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+    lists = b.column(1).take(pa.array(row))
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    h, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+    rank = words_.rank(h)
+    o = np.lexsort((h, rank, owner))
+    return ids, n, h[o], owner[o], rank[o]
 
 
-def required(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
-    """Least overlap of two sets of n and m elements whose intersection / union is at least t."""
-    return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
+POSTING = ["key", "class_id", "meta", "s0", "s1"]
+SIZE, PLACE, PIECE_OF, SIDE = 40, 16, 2, 1  #: bits of meta at which a set's size, a word's place, its fragment and the set's block begin; bit 0: two blocks
 
 
-def _sorted_words(b: pa.RecordBatch, words_: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of a batch's sets; their words in global order with owner and rank."""
-    lists = b.column(1)
-    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # offsets of a slice start at its first row
-    h, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
-    rank = words_.rank(h)
-    o = np.lexsort((h, rank, owner))
-    return n, h[o], owner[o], rank[o]
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two numbers."""
+    z = (x.view(np.uint64) ^ (y.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(29))).view(np.int64)
 
 
 def _postings(sets: DataFrame, words_: Order, t: float) -> DataFrame:
-    """A row for each word near a record's front: fragment, word, the record's size, the word's place, the signature."""
+    """A row for each word near a set's front: the word (and block pair) as key, the class, meta and the signature."""
     shared = sets.sparkSession.sparkContext.broadcast(words_)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +132,7 @@ def _postings(sets: DataFrame, words_: Order, t: float) -> DataFrame:
         for b in bounded(batches, 1, PIECE):
             if not b.num_rows:
                 continue
-            n, h, owner, rank = _sorted_words(b, w_)
+            ids, n, h, owner, rank = _sorted_words(b, w_)
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
             place = np.arange(len(h)) - start[owner]
             bit = (h >> 40) & 127
@@ -140,73 +144,75 @@ def _postings(sets: DataFrame, words_: Order, t: float) -> DataFrame:
             keep = (place <= n[owner] - np.ceil(t * n - 1e-9).astype(np.int64)[owner]) & (rank >= 1)
             at, w, r = owner[keep], h[keep], rank[keep]
             blocks = np.maximum(1, np.ceil(2.0 ** (np.floor(r) / STEPS) / BLOCK)).astype(np.int64)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             mine = ((ids[at].view(np.uint64) >> np.uint64(20)) % blocks.astype(np.uint64)).astype(np.int64)
-            # block pairs (mine, other), the smaller first; side tells in which of the two blocks a record lies
+            # block pairs (mine, other), the smaller first; side tells in which of the two blocks a set lies
             row = np.repeat(np.arange(len(at)), blocks)
             other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             x, y = np.minimum(mine[row], other), np.maximum(mine[row], other)
             a = at[row]
-            meta = (n[a] << 32) | (place[keep][row] << 1) | (mine[row] == y)
-            cols = [w_.fragment(r)[row].astype(np.int32), w[row], (x << 32) | y, ids[a], meta, sig[a, 0].view(np.int64), sig[a, 1].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=POSTING)
-
-    return sets.select("class_id", "hashes").mapInArrow(post, "fragment int, word long, pair long, class_id long, meta long, s0 long, s1 long")
-
+            meta = (n[a] << SIZE) | (place[keep][row] << PLACE) | (w_.fragment(r)[row] << PIECE_OF) | ((mine[row] == y) << SIDE) | (x != y)
+            key = np.where(blocks[row] > 1, _mixed(w[row], (x << 32) | y), w[row])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[a], meta, sig[a, 0].view(np.int64), sig[a, 1].view(np.int64))], names=POSTING)
 
-POSTING = ["fragment", "word", "pair", "class_id", "meta", "s0", "s1"]
+    return sets.mapInArrow(post, "key long, class_id long, meta long, s0 long, s1 long")
 
 
-def _near(a: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(smaller id, larger id, fragment) of pairs in postings of whole words that may be similar, all words at once."""
-    new = np.concatenate([[True], (np.diff(a["word"]) != 0) | (np.diff(a["pair"]) != 0)])
-    g = np.cumsum(new) - 1
+def _near(a: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(smaller id, larger id, their sizes together, fragment) of pairs in postings of whole keys that may be similar, all keys at once."""
+    o = np.lexsort((a["class_id"], a["key"]))
+    key, ids = a["key"][o], a["class_id"][o]
+    once = o[np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])]
+    key = a["key"][once]
+    g = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
     several = np.bincount(g)[g] > 1
-    a, g = {c: v[several] for c, v in a.items()}, g[several]
+    once, g = once[several], g[several]
     if not len(g):
         return
-    n, place, block = a["meta"] >> 32, (a["meta"] & 0xFFFFFFFF) >> 1, a["meta"] & 1
+    meta = a["meta"][once]
+    n, place = meta >> SIZE, (meta >> PLACE) & 0xFFFFFF
     x = place - (1 - t) / (1 + t) * n
     o = np.lexsort((x, g))
-    g, x, n, place, block = g[o], x[o], n[o], place[o], block[o]
-    s0, s1, ids, frag = a["s0"][o].view(np.uint64), a["s1"][o].view(np.uint64), a["class_id"][o], a["fragment"][o]
-    two = (a["pair"] >> 32 != a["pair"] & 0xFFFFFFFF)[o]
-    wide = 4 * float(np.abs(x).max() + 1)  # keeps words apart on one line
-    line = g * wide + x
+    once, g, x, meta = once[o], g[o], x[o], meta[o]
+    n, place, side = n[o].astype(np.int32), place[o].astype(np.int32), ((meta >> SIDE) & 1).astype(np.int8)
+    frag, two = ((meta >> PIECE_OF) & 0xFF).astype(np.int32), (meta & 1).astype(bool)
+    s0, s1, ids = a["s0"][once].view(np.uint64), a["s1"][once].view(np.uint64), a["class_id"][once]
+    wide = 4 * float(np.abs(x).max() + 1)  # keeps keys apart on one line
     first = np.searchsorted(g, g, side="left")
     # partners: places before oneself in the order, up to the range's end
-    upto = np.minimum(np.searchsorted(line, g * wide - x + 1e-6, side="right"), np.arange(len(x))) - first
+    upto = np.minimum(np.searchsorted(g * wide + x, g * wide - x + 1e-6, side="right"), np.arange(len(x))) - first
     upto = np.maximum(upto, 0)
     ends = np.cumsum(upto)
+    share = t / (1 + t)
     k, size = 0, len(x)
     while k < size:
         e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, side="right")))
         u = upto[k:e]
         total = int(u.sum())
         if total:
-            i = np.repeat(np.arange(k, e), u)
-            j = np.arange(total) - np.repeat(np.cumsum(u) - u, u) + first[i]
-            most = n[i] + n[j] - 2 * required(n[i], n[j], t)
-            ok = (place[i] + place[j] <= most) & (t * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]) + 1e-9) & (ids[i] != ids[j]) & (~two[i] | (block[i] != block[j]))
-            i, j, most = i[ok], j[ok], most[ok]
-            ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= most
+            i = np.repeat(np.arange(k, e, dtype=np.int32), u)
+            j = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(u) - u - first[k:e]).astype(np.int32), u)
+            ni, nj = n[i], n[j]
+            ok = np.flatnonzero(t * np.maximum(ni, nj) <= np.minimum(ni, nj) + 1e-9)
             i, j = i[ok], j[ok]
-            if len(i):
-                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), frag[i]
+            both = ni[ok] + nj[ok]
+            most = both - 2 * np.ceil(share * both - 1e-9).astype(np.int32)
+            ok = np.flatnonzero((np.bitwise_count(s0[i] ^ s0[j]).astype(np.int32) + np.bitwise_count(s1[i] ^ s1[j]) <= most) & (place[i] + place[j] <= most) & (~two[i] | (side[i] != side[j])))
+            if len(ok):
+                i, j = i[ok], j[ok]
+                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), both[ok], frag[i]
         k = e
 
 
 def candidates(sets: DataFrame, words_: Order, t: float) -> DataFrame:
-    """Pairs of classes (a, b, fragment of their first common word) that may reach similarity t; none that does is missing."""
+    """Pairs of classes (a, b, both: their sizes together, first: fragment of their first common word) that may reach similarity t; none that does is missing."""
 
     def groups(tab: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         found = list(_near(tab, t))
         if found:
-            x, y, f = (np.concatenate(c) for c in zip(*found))
+            x, y, both, f = (np.concatenate(c) for c in zip(*found))
             o = np.lexsort((f, y, x))
-            x, y, f = x[o], y[o], f[o]
-            keep = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep]), pa.array(f[keep])], names=["a", "b", "fragment"])
+            o = o[np.concatenate([[True], (np.diff(x[o]) != 0) | (np.diff(y[o]) != 0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c[o]) for c in (x, y, both, f)], names=["a", "b", "both", "first"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -218,7 +224,7 @@ def candidates(sets: DataFrame, words_: Order, t: float) -> DataFrame:
             if size < 60_000:
                 continue
             tab = whole()
-            same = (tab["word"] == tab["word"][-1]) & (tab["pair"] == tab["pair"][-1])
+            same = tab["key"] == tab["key"][-1]
             cut = size - int(np.argmin(same[::-1])) if not same.all() else 0  # the last group may go on in the next batch
             if cut:
                 yield from groups({c: v[:cut] for c, v in tab.items()})
@@ -227,13 +233,12 @@ def candidates(sets: DataFrame, words_: Order, t: float) -> DataFrame:
             yield from groups(whole())
 
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores(sets.sparkSession) * 4)
-    keys = ["fragment", "word", "pair"]
-    p = _postings(sets, words_, t).repartition(parts, *keys).sortWithinPartitions(*keys)
-    return p.mapInArrow(join, "a long, b long, fragment int").groupBy("a", "b").agg(F.min("fragment").alias("fragment"))
+    p = _postings(sets, words_, t).repartition(parts, "key").sortWithinPartitions("key")
+    return p.mapInArrow(join, "a long, b long, both int, first int").groupBy("a", "b").agg(F.min("first").alias("first"), F.first("both").alias("both"))
 
 
 def segments(sets: DataFrame, words_: Order) -> DataFrame:
-    """(class_id, fragment, n, words): each set cut by fragments, without the words that no other set has."""
+    """(key, words): each set cut by fragments, without the words that no other set has; key names class and fragment."""
     shared = sets.sparkSession.sparkContext.broadcast(words_)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,28 +246,28 @@ def segments(sets: DataFrame, words_: Order) -> DataFrame:
         for b in bounded(batches, 1, PIECE):
             if not b.num_rows:
                 continue
-            n, h, owner, rank = _sorted_words(b, w_)
+            ids, _, h, owner, rank = _sorted_words(b, w_)
             keep = rank >= 1
             h, owner, f = h[keep], owner[keep], w_.fragment(rank[keep])
             if not len(h):
                 continue
             start = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(f) != 0)]))
-            at = owner[start]
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(h)).astype(np.int32)), pa.array(h))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(f[start].astype(np.int32)), pa.array(n[at].astype(np.int32)), lists], names=["class_id", "fragment", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[start]]), pa.array(f[start].astype(np.int32)), lists], names=["class_id", "fragment", "words"])
 
-    return sets.select("class_id", "hashes").mapInArrow(cut, "class_id long, fragment int, n int, words array<long>")
+    return sets.mapInArrow(cut, "class_id long, fragment int, words array<long>").select(F.xxhash64("class_id", "fragment").alias("key"), "words")
 
 
 def similar_classes(sets: DataFrame, words_: Order, t: float = 0.7) -> DataFrame:
     """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
-    pairs = candidates(sets, words_, t).withColumnRenamed("fragment", "first")
-    cut = segments(sets, words_)
-    side = lambda s: cut.select(F.col("class_id").alias(s), "fragment", F.col("n").alias(f"n{s}"), F.col("words").alias(f"w{s}"))
-    both = pairs.join(side("a"), "a").where("fragment >= first").join(side("b"), ["b", "fragment"])
-    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("wa", "wb")).alias("common"))
-    total = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+    cut = segments(sets, words_).groupBy("key").agg(F.first("words").alias("words"))
+    # one row for each pair and fragment that may hold common words
+    asked = candidates(sets, words_, t).withColumn("fragment", F.explode(F.sequence("first", F.lit(len(words_.pivots)))))
+    asked = asked.select("a", "b", "both", F.xxhash64("a", "fragment").alias("ka"), F.xxhash64("b", "fragment").alias("kb"))
+    side = lambda s: cut.select(F.col("key").alias(f"k{s}"), F.col("words").alias(f"w{s}"))
+    part = asked.join(side("a"), "ka").join(side("b"), "kb").select("a", "b", "both", F.size(F.array_intersect("wa", "wb")).alias("common"))
+    total = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("both").alias("both"))
+    return total.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
 
 
 def _listed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
