@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
-LEAST_BITS, MOST_BITS = 16, 24  #: counters of the sketch; a byte each, so at most 16 MB are sent to every task
+LEAST_BITS, MOST_BITS = 16, 25  #: counters of the sketch; a byte each, so at most 32 MB are sent to every task
 STEPS = 4  #: levels of a counter for each doubling
 BLOCK = 4096  #: postings of one word in one block of a block pair
 PIECE = 1_000_000  #: words handled at once
@@ -73,7 +73,7 @@ def classes(records: DataFrame, fragments: int = FRAGMENTS, field: str = "field_
     fields have no word in common. Sets of copies repeat here; whatever is made of them names each class once a batch
     before it is shuffled, and once in all after that.
     """
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(records.count(), 1) * 8))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(records.count(), 1) * 32))))
     r = records.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
     r = r.select("field", "id", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64("field", w))).alias("hashes"))
     r = r.select("field", "id", F.xxhash64("hashes").alias("class_id"), "hashes")
