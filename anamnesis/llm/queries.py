@@ -102,7 +102,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return spam.scored(table(spark, d, "documents")).select("doc_id", "n_words", F.round("list_share", 6).alias("list_share"), F.round("stitched", 6).alias("stitched"), "spam")
+    r = lambda c: F.round(c, 6).alias(c)
+    return spam.scored(table(spark, d, "documents")).select("doc_id", "n_words", r("listed"), r("natural"), r("repeats"), r("stuffed"), r("shared"), r("prose"), "spam")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_by_agent": p1_by_agent, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_threads": p5_threads, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_packed": p8_packed, "p8_bounds": p8_bounds, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_scores": p10_scores}

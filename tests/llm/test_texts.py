@@ -237,8 +237,15 @@ def test_token_counts_handle_nulls_repeats_and_marks(spark):
     assert got[1] == 2 and got[2] == 0 and set(got) == {1, 2, 4} and got[4] > 1
 
 
+def _background():
+    """The same sentences with other names on several hosts: what the corpus knows as prose."""
+    says = "The loader reads the cache before it is flushed. Please check why this takes so long on the second run. We agreed to store the graph next to the parser and to drop the old one."
+    tells = [f"This page tells how the {w} is built and why it was changed." for w in ("parser", "loader", "graph", "cache")]
+    return says, [(200 + k, says + " " + " ".join(tells[k % 3 :]), f"other{k}") for k in range(5)]
+
+
 def test_spam_kinds_and_their_lookalikes(spark):
-    prose = "The loader reads the cache before it is flushed. Please check why this takes so long on the second run. We agreed to store the graph next to the parser and to drop the old one."
+    prose, background = _background()
     spam_ = [
         " ".join(f"#tag{'abc'[k % 3]}" for k in range(40)),
         "\n".join(f"https://site{k}.example/page" for k in range(20)),
@@ -257,18 +264,23 @@ def test_spam_kinds_and_their_lookalikes(spark):
         "\n".join(f"https://a{k}.example/x\n    This page tells how the {w} is built and why it was changed." for k, w in enumerate(("parser", "loader", "graph", "cache"))),
         "ok",
     ]
-    rows = [(k, t, "host") for k, t in enumerate(spam_ + fine)] + [(90, None, "h"), (91, " ", None), (None, spam_[0], "h"), (0, spam_[0], "host")]
+    rows = [(k, t, "host") for k, t in enumerate(spam_ + fine)] + background + [(90, None, "h"), (91, " ", None), (None, spam_[0], "h"), (0, spam_[0], "host")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(1))
     assert {r[0] for r in spam.flagged(df).collect()} == set(range(len(spam_)))
     assert spam.flagged(df.limit(0)).count() == 0
 
 
-def test_pages_stitched_from_other_hosts_are_spam_and_copies_are_not(spark):
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(3))
-    pages = [[f"The {word()} of the {word()} is {word()} and we {word()} it when {word()} has no {word()}." for _ in range(8)] for _ in range(12)]
-    rows = [(k, " ".join(p), f"host{k}") for k, p in enumerate(pages)]
-    rows += [(100, " ".join(p[k % 7] + " " + p[k % 7 + 1] for k, p in enumerate(pages)), "stitcher"), (101, rows[0][1], "mirror"), (102, rows[0][1], "mirror2")]
-    scores = {r["doc_id"]: r for r in spam.scored(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert {d for d, r in scores.items() if r["spam"]} == {100}
-    assert scores[101]["stitched"] == 1.0 and scores[101]["borrowed"] < 0.2 and scores[100]["list_share"] == 0.0 and 0.05 < scores[3]["stitched"] < 0.5
+def test_host_counts_decide(spark):
+    """The same annotated list is kept where its sentences stand on other hosts, and flagged where they stand on none or its entries repeat."""
+    says, background = _background()
+    entry = lambda k, x: f"- [page{k}](https://a{k}.example/x): {x}"
+    known = "\n".join(entry(k, x) for k, x in enumerate([*says.split(". ")[:3], "This page tells how the cache is built and why it was changed."]))
+    alone = "\n".join(entry(k, f"cheap {w} online store best {w} deals") for k, w in enumerate(("shoes", "boots", "socks", "hats")))
+    keys = " ".join(random.Random(3).choice(("shoes", "boots", "socks", "hats", "belts")) for _ in range(80))
+    rows = [(1, known, "h"), (2, alone, "h"), (3, keys, "h"), *background]
+    kind = "doc_id long, text string, source string"
+    scores = {r["doc_id"]: r for r in spam.scored(spark.createDataFrame(rows, kind)).collect()}
+    assert {d for d, r in scores.items() if r["spam"]} == {2, 3}
+    assert scores[1]["listed"] > 0.9 and scores[1]["prose"] > 0.6 and scores[2]["prose"] == 0.0 and scores[3]["shared"] == 0.0
+    one_host = [(d, t, "same") for d, t, _ in rows]
+    assert 1 in {r["doc_id"] for r in spam.flagged(spark.createDataFrame(one_host, kind)).collect()}
