@@ -153,6 +153,27 @@ SQL: dict[str, str] = {
         x AS (SELECT session_id, u, lead(a) OVER (PARTITION BY session_id ORDER BY n) AS answered FROM q WHERE u OR a)
         SELECT DISTINCT session_id FROM m WHERE session_id IN (SELECT session_id FROM bad) OR session_id IN (SELECT session_id FROM odd) OR session_id IN (SELECT session_id FROM f)
           OR session_id NOT IN (SELECT session_id FROM q) OR session_id IN (SELECT session_id FROM x WHERE u AND NOT coalesce(answered, false))""",
+    "p5_sessions": r"""
+        WITH o AS (SELECT DISTINCT ON (session_id, uuid) session_id, uuid, trim(ts) AS ts, lower(trim(message_role)) AS role, coalesce(message_content, []) AS c
+                   FROM transcript_rows WHERE session_id IS NOT NULL AND uuid IS NOT NULL ORDER BY session_id, uuid, received_at, batch_id),
+        m AS (SELECT session_id, uuid,
+                CASE WHEN regexp_full_match(ts, '\d+') THEN TRY_CAST(ts AS BIGINT) * 1000
+                     ELSE epoch_us(TRY_CAST(CASE WHEN regexp_matches(ts, '(Z|[+-]\d{2}:\d{2})$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ)) END AS t,
+                CASE WHEN role IN ('user', 'human') THEN 'user' WHEN role IN ('assistant', 'ai', 'model') THEN 'assistant' WHEN role = 'system' THEN 'system' END AS role,
+                len(list_filter(c, lambda b: b.block_type = 'text' AND regexp_matches(b.text, '[^\s\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]'))) > 0 AS text,
+                list_transform(list_filter(c, lambda b: b.block_type = 'tool_use'), lambda b: b.tool_use_id) AS uses,
+                list_transform(list_filter(c, lambda b: b.block_type = 'tool_result'), lambda b: b.tool_use_id) AS results FROM o),
+        bad AS (SELECT session_id FROM m WHERE role IS NULL OR t IS NULL),
+        odd AS (SELECT session_id FROM (SELECT session_id, unnest(uses) AS id, 1 AS k FROM m UNION SELECT session_id, unnest(results), 2 FROM m) GROUP BY session_id, id HAVING sum(k) < 3),
+        q AS (SELECT *, role = 'user' AND text AS u, role = 'assistant' AND text AS a, row_number() OVER (PARTITION BY session_id ORDER BY t, uuid) AS n
+              FROM m WHERE role <> 'system' AND (text OR len(uses) + len(results) > 0)),
+        f AS (SELECT session_id FROM q WHERE n = 1 AND NOT u),
+        x AS (SELECT session_id, u, lead(a) OVER (PARTITION BY session_id ORDER BY n) AS answered FROM q WHERE u OR a)
+        SELECT session_id, bool_or(m.role IS NULL OR m.t IS NULL) AS bad_row, session_id IN (SELECT session_id FROM odd) AS bad_tools,
+               session_id IN (SELECT session_id FROM f) OR session_id NOT IN (SELECT session_id FROM q) OR session_id IN (SELECT session_id FROM x WHERE u AND NOT coalesce(answered, false)) AS bad_order,
+               count(*) AS n_rows, NOT (bool_or(m.role IS NULL OR m.t IS NULL) OR session_id IN (SELECT session_id FROM odd) OR session_id IN (SELECT session_id FROM f) OR session_id NOT IN (SELECT session_id FROM q)
+                 OR session_id IN (SELECT session_id FROM x WHERE u AND NOT coalesce(answered, false))) AS usable
+        FROM m GROUP BY session_id""",
     "p9_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),

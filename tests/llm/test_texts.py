@@ -209,6 +209,29 @@ def test_reply_trees_run_over_partition_edges(spark, monkeypatch):
     assert sorted(x[2] for x in cut.values() if x[0] == "hot") == list(range(900)) and max(x[7] for x in cut.values()) > 60
 
 
+def test_parents_beyond_the_window(spark, monkeypatch):
+    """Tool ids and mentions are linked at any distance, and across pieces."""
+    filler = [message("s", f"u{k:03d}", f"2026-01-01T00:{k // 60:02d}:{k % 60:02d}Z", "user" if k % 2 == 0 else "assistant", f"w{k} v{k}") for k in range(1, 90)]
+    rows = [message("s", "u000", "2026-01-01T00:00:00Z", "assistant", "look at deepCall", use="t1"), *filler, message("s", "u090", "2026-01-01T00:05:00Z", "user", None, result="t1")]
+    got = {r["uuid"]: r for r in conversations.linked(spark.createDataFrame(rows, ROW)).collect()}
+    assert got["u090"]["parent"] == "u000" and got["u090"]["root"] == "u000" and got["u090"]["depth"] == 1
+    monkeypatch.setattr(conversations, "CHUNK", 20)
+    again = {r["uuid"]: r for r in conversations.linked(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == again
+    far = {r["place"]: [x["uuid"] for x in r["far"]] for r in conversations.distant(conversations.placed(spark.createDataFrame([*rows, message("s", "u091", "2026-01-01T00:06:00Z", "user", "deepCall again")], ROW))).collect()}
+    assert far == {90: ["u000"], 91: ["u000"]}
+
+
+def test_unusable_sessions_come_from_the_trees(spark, monkeypatch):
+    """A message is asked about only if no tree answers it: with false answers nothing is left out."""
+    rows = [message("open", "a", "2026-01-01T00:00:01Z", "user", "hi"), message("ok", "a", "2026-01-01T00:00:01Z", "user", "hi"), message("ok", "b", "2026-01-01T00:00:02Z", "assistant", "yes")]
+    df = spark.createDataFrame(rows, ROW)
+    assert [r[0] for r in conversations.left_out(df).collect()] == ["open"]
+    links = conversations._pieces
+    monkeypatch.setattr(conversations, "_pieces", lambda m: links(m).withColumn("answers", F.when(F.col("prompt"), F.col("uuid")).otherwise(F.col("answers"))))
+    assert conversations.left_out(df).count() == 0
+
+
 def test_best_fit_bounds_and_packing(spark, monkeypatch):
     rng = np.random.default_rng(0)
     for _ in range(40):
