@@ -5,7 +5,7 @@ of about equal mass, so every record falls into segments, one in each fragment t
 
 * A pair of similar records must share a word near the front of both records. Each fragment is searched for pairs by
   the front words that it holds, and a pair is attributed to the fragment of its first common word.
-* Segments are moved once per fragment. In every fragment from there on the two segments of a pair are intersected on
+* Segments of the sets in such pairs are moved once per fragment. In every fragment from there on the two segments of a pair are intersected on
   their own, and the partial overlaps are summed per pair; earlier fragments hold no common word.
 
 What keeps it linear in rows and bounded in every task:
@@ -237,15 +237,33 @@ def candidates(sets: DataFrame, words_: Order, t: float) -> DataFrame:
     return p.mapInArrow(join, "a long, b long, both int, first int").groupBy("a", "b").agg(F.min("first").alias("first"), F.first("both").alias("both"))
 
 
-def segments(sets: DataFrame, words_: Order) -> DataFrame:
-    """(key, words): each set cut by fragments, without the words that no other set has; key names class and fragment."""
+def marked(pairs: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2**bits bits in which the classes of all pairs are marked: at most 4 MB, however many pairs there are."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.col("c").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"))
+    got = ends.groupBy(F.shiftright("slot", 5).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) -> DataFrame:
+    """(key, words): each set cut by fragments, without the words that no other set has; key names class and fragment.
+
+    Of classes that are not marked most are left out.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(words_)
+    asked = sets.sparkSession.sparkContext.broadcast(marks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_ = shared.value
         for b in bounded(batches, 1, PIECE):
             if not b.num_rows:
                 continue
+            if asked.value is not None:
+                slot = b.column(0).to_numpy(zero_copy_only=False) & (32 * len(asked.value) - 1)
+                b = b.filter(pa.array((asked.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+                if not b.num_rows:
+                    continue
             ids, _, h, owner, rank = _sorted_words(b, w_)
             keep = rank >= 1
             h, owner, f = h[keep], owner[keep], w_.fragment(rank[keep])
@@ -260,9 +278,10 @@ def segments(sets: DataFrame, words_: Order) -> DataFrame:
 
 def similar_classes(sets: DataFrame, words_: Order, t: float = 0.7) -> DataFrame:
     """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
-    cut = segments(sets, words_).groupBy("key").agg(F.first("words").alias("words"))
+    pairs = written(candidates(sets, words_, t), "neardup-pairs")
+    cut = segments(sets, words_, marked(pairs, len(words_.level).bit_length() - 1)).groupBy("key").agg(F.first("words").alias("words"))
     # one row for each pair and fragment that may hold common words
-    asked = candidates(sets, words_, t).withColumn("fragment", F.explode(F.sequence("first", F.lit(len(words_.pivots)))))
+    asked = pairs.withColumn("fragment", F.explode(F.sequence("first", F.lit(len(words_.pivots)))))
     asked = asked.select("a", "b", "both", F.xxhash64("a", "fragment").alias("ka"), F.xxhash64("b", "fragment").alias("kb"))
     side = lambda s: cut.select(F.col("key").alias(f"k{s}"), F.col("words").alias(f"w{s}"))
     part = asked.join(side("a"), "ka").join(side("b"), "kb").select("a", "b", "both", F.size(F.array_intersect("wa", "wb")).alias("common"))
@@ -280,7 +299,7 @@ def _listed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_records(records: DataFrame, t: float = 0.7) -> DataFrame:
     """All pairs of records (field_name, id_a, id_b), id_a < id_b, with similarity >= t, members of equal sets included."""
     members, sets, words_ = classes(records)
-    members, large = _listed(written(members, "neardup-members"))
+    members, large = _listed(members)
     links = similar_classes(sets, words_, t).select("a", "b")
     several = members.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     out = links.unionByName(several)

@@ -65,7 +65,7 @@ def test_overlaps_are_summed_over_fragments(spark):
     whole = {tuple(r) for r in neardup.similar_classes(sets, words_, 0.7).select("a", "b").collect()}
     keep = neardup.segments
     try:
-        neardup.segments = lambda s, w: keep(s, w).where(F.size("words") > 6)
+        neardup.segments = lambda s, w, m: keep(s, w, m).where(F.size("words") > 6)
         part = {tuple(r) for r in neardup.similar_classes(sets, words_, 0.7).select("a", "b").collect()}
     finally:
         neardup.segments = keep
