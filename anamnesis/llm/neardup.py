@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.llm.marks import among, marked
 from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
@@ -237,15 +238,6 @@ def candidates(sets: DataFrame, words_: Order, t: float) -> DataFrame:
     return p.mapInArrow(join, "a long, b long, both int, first int").groupBy("a", "b").agg(F.min("first").alias("first"), F.first("both").alias("both"))
 
 
-def marked(pairs: DataFrame, bits: int) -> np.ndarray:
-    """A map of 2**bits bits in which the classes of all pairs are marked: at most 4 MB, however many pairs there are."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.col("c").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"))
-    got = ends.groupBy(F.shiftright("slot", 5).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
 def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) -> DataFrame:
     """(key, words): each set cut by fragments, without the words that no other set has; key names class and fragment.
 
@@ -260,8 +252,7 @@ def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) ->
             if not b.num_rows:
                 continue
             if asked.value is not None:
-                slot = b.column(0).to_numpy(zero_copy_only=False) & (32 * len(asked.value) - 1)
-                b = b.filter(pa.array((asked.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+                b = b.filter(pa.array(among(asked.value, b.column(0).to_numpy(zero_copy_only=False))))
                 if not b.num_rows:
                     continue
             ids, _, h, owner, rank = _sorted_words(b, w_)
@@ -279,7 +270,7 @@ def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) ->
 def similar_classes(sets: DataFrame, words_: Order, t: float = 0.7) -> DataFrame:
     """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
     pairs = written(candidates(sets, words_, t), "neardup-pairs")
-    cut = segments(sets, words_, marked(pairs, len(words_.level).bit_length() - 1)).groupBy("key").agg(F.first("words").alias("words"))
+    cut = segments(sets, words_, marked(pairs.select(F.explode(F.array("a", "b"))), len(words_.level).bit_length() - 1)).groupBy("key").agg(F.first("words").alias("words"))
     # one row for each pair and fragment that may hold common words
     asked = pairs.withColumn("fragment", F.explode(F.sequence("first", F.lit(len(words_.pivots)))))
     asked = asked.select("a", "b", "both", F.xxhash64("a", "fragment").alias("ka"), F.xxhash64("b", "fragment").alias("kb"))

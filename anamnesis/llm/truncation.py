@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.llm.marks import among, marked
 from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
 CROWD, TIMES = 8, 5.0  #: values at a limit at least, and times the mean of the lengths below
+TASK = 64 << 20  #: bytes of text that one task counts runs in, where that gives more tasks than cores
+MARKS = 25  #: bits of the map of asked runs, as a power of two
 PIECE = 1_000_000  #: bytes of text whose runs of words are counted at once
 SOFT = 25  #: a limit that cuts back to a blank crowds this many lengths below it
 
@@ -169,9 +172,9 @@ def limits(m: DataFrame) -> DataFrame:
 
 def judged(v: DataFrame) -> DataFrame:
     """(record_id, field_name, source, reason): reason is null for whole values, else limit, mark or ending."""
-    m = written(_measured(v), "truncation-values")
-    kinds = limits(m).groupBy("field_name", "source", "mark").agg(F.collect_set(F.struct("notation", "low", "high")).alias("limits"))
-    m = m.join(kinds, ["field_name", "source", "mark"], "left")
+    measured = written(_measured(v), "truncation-values")
+    kinds = limits(measured).groupBy("field_name", "source", "mark").agg(F.collect_set(F.struct("notation", "low", "high")).alias("limits"))
+    m = measured.join(kinds, ["field_name", "source", "mark"], "left")
     m = m.withColumn("at_limit", F.coalesce(F.exists("limits", lambda x: F.element_at(F.col("n"), x["notation"] + 1).between(x["low"], x["high"])), F.lit(False)))
     m = m.select("record_id", "field_name", "source", "mark", "at_limit", "body")
 
@@ -185,6 +188,8 @@ def judged(v: DataFrame) -> DataFrame:
     e = m.mapInArrow(inspect, "record_id string, field_name string, source string, mark int, at_limit boolean, state int, run3 long, run2 long, frame long, word long, head long, has_word boolean")
     e = written(e, "truncation-endings")
     open_ = e.where("state = 2 and mark = 0 and not at_limit")
+    asked = open_.select(F.explode(F.array("run3", "run2", "frame", "word", "head")).alias("run"))
+    wanted = v.sparkSession.sparkContext.broadcast(marked(asked, MARKS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 0, PIECE):
@@ -200,12 +205,15 @@ def judged(v: DataFrame) -> DataFrame:
             heads = Counter(f"b {u[2 : 2 + k]}" for u, c in zip(uniq, n[:, WHOLE]) if c for k in range(1, min(len(u) - 2, 24)))
             uniq = [*uniq, *heads]
             n = np.concatenate([n, np.outer(np.array(list(heads.values()), np.int64), np.eye(4, dtype=np.int64)[WHOLE])])
-            yield pa.RecordBatch.from_arrays([pa.array(_hash(uniq))] + [pa.array(n[:, k].astype(np.int64)) for k in range(4)], names=["run", "go", "stop", "last", "whole"])
+            runs = _hash(uniq)
+            keep = among(wanted.value, runs)  # no ending asks for the others
+            yield pa.RecordBatch.from_arrays([pa.array(runs[keep])] + [pa.array(n[keep, k].astype(np.int64)) for k in range(4)], names=["run", "go", "stop", "last", "whole"])
 
     # values at a limit say nothing about how texts end
-    tall = m.where("not at_limit and mark = 0").select("body").repartition(2 * cores(v.sparkSession)).mapInArrow(count, "run long, go long, stop long, last long, whole long")
-    asked = open_.select(F.explode(F.array("run3", "run2", "frame", "word", "head")).alias("run")).distinct()
-    known = tall.groupBy("run").agg(*(F.sum(c).alias(c) for c in ("go", "stop", "last", "whole"))).join(asked, "run", "left_semi")
+    size = measured.agg(F.sum(F.element_at("n", 1 + LENGTHS.index("utf8")))).first()[0] or 0
+    parts = max(2 * cores(v.sparkSession), size // TASK)
+    tall = m.where("not at_limit and mark = 0").select("body").repartition(parts).mapInArrow(count, "run long, go long, stop long, last long, whole long")
+    known = tall.groupBy("run").agg(*(F.sum(c).alias(c) for c in ("go", "stop", "last", "whole"))).join(asked.distinct(), "run", "left_semi")
     known = written(known, "truncation-runs")
     side = lambda c, *cols: known.select(F.col("run").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
     o = open_.join(side("run3", "go", "stop", "last"), "run3", "left").join(side("run2", "go", "stop", "last"), "run2", "left").join(side("frame", "go", "stop", "last"), "frame", "left").join(side("word", "whole"), "word", "left").join(side("head", "whole"), "head", "left")
