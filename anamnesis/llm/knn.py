@@ -3,13 +3,20 @@
 Equal vectors are collapsed first (a class keeps its k + 1 smallest keys, which is all that can ever be an answer), so
 copies cost nothing. Coarse cells and code books are fitted on at most SAMPLE vectors; every vector is indexed. The code
 books minimise the score-aware loss: the part of a residual that is parallel to its vector counts ETA times as much as
-the rest, because it is what moves inner products of close pairs. A query looks into every cell whose centre is nearly
-as similar as the nearest one, so a vector between clusters looks into more of them. Per cell and query the 16-entry
-tables of all subspaces are summed, which for a block of queries is one matrix product with the decoded tables, and
-the best RERANK codes are scored again with the vectors themselves.
+the rest, because it is what moves inner products of close pairs.
+
+A query looks into every cell whose centre is nearly as similar as the nearest one. How nearly is calibrated on the
+sample: queries are told apart by how similar their nearest centre is, and the margins of these kinds are chosen so that
+cells hold TARGET of the sample's true neighbours at the least number of vectors looked at. A vector inside a cluster
+then looks into a few cells, and only one that lies apart from all others into many.
+
+For each query and cell the 16-entry tables of all subspaces are summed over the codes, which for the queries of a cell
+is one matrix product with what the codes stand for; the best RERANK codes, and all that tie with the last of them, are
+scored again with the vectors themselves.
 
 Neighbouring cells form groups of about BLOCK vectors, and a query is sent once to each group it looks into. Groups,
-cells of any size included, are cut into blocks of about BLOCK vectors and BLOCK queries that are spread over tasks.
+cells of any size included, are cut into blocks of about BLOCK vectors; the queries of a group are cut into blocks by
+how many look into it, so a vector is copied only as often as the queries near it need.
 
 Defined results: rows without key or vector, of another length, with missing or non-finite numbers, or all zero are
 left out; of several rows of one key the smallest vector counts; similarities are rounded to 6 places and equal ones go
@@ -26,10 +33,13 @@ from pyspark.sql import functions as F
 from anamnesis.plans.scratch import written
 
 SAMPLE = 20_000  #: vectors the index is fitted on
-CELLS = 4096  #: most cells; otherwise the square root of the number of vectors
-MARGIN, LEAST = 0.4, 24  #: a query looks into cells within this similarity of the nearest one, and into so many at least
+CELLS = 4096  #: most cells; otherwise eight times the square root of the number of vectors
+TARGET, LEAST = 0.91, 8  #: share of true neighbours that the cells looked into hold on the sample; cells looked into at least
+KINDS, ASKED = 8, 2000  #: kinds of queries told apart, and sample queries that margins are calibrated with
+CODED = 8000  #: vectors of the sample that code books are fitted on
 RERANK = 64  #: codes of a block that are scored exactly for a query, besides all that tie with the last of them
 TIE = 1e-3  #: scores that differ by less tie
+QUERIES = 256  #: queries scanned at once
 BLOCK = 16_384  #: vectors, and queries, that one group of a task holds
 T = 0.2  #: similarity above which scores matter, see eta()
 
@@ -42,7 +52,7 @@ def eta(dim: int) -> float:
 class Quantiser:
     """Coarse cells and, for the residuals, 16 codes in each pair of dimensions."""
 
-    def __init__(self, x: np.ndarray, cells: int, seed: int = 7, rounds: int = 12):
+    def __init__(self, x: np.ndarray, cells: int, seed: int = 7, rounds: int = 8):
         rng = np.random.default_rng(seed)
         x = np.asarray(x, np.float32)
         self.dim, self.eta = x.shape[1], eta(x.shape[1])
@@ -57,8 +67,9 @@ class Quantiser:
             norm = np.linalg.norm(c, axis=1, keepdims=True)
             c /= np.where(norm > 0, norm, 1)
         self.cells = c
+        self.edges, self.margins = np.zeros(0), np.full(1, np.inf)
         self.books = np.zeros((self.dim // 2, 16, 2), np.float32)
-        r, d = self._residual(x)
+        r, d = self._residual(x[rng.permutation(len(x))[:CODED]])
         for m in range(self.dim // 2):
             self.books[m] = self._lloyd(r[:, 2 * m : 2 * m + 2], rng)
         for _ in range(3):
@@ -145,10 +156,45 @@ class Quantiser:
             todo += [o[:k], o[k:]]
         return group
 
-    def probes(self, x: np.ndarray, margin: float = MARGIN, least: int = LEAST) -> np.ndarray:
+    def calibrate(self, x: np.ndarray, k: int = 5, target: float = TARGET, seed: int = 5) -> None:
+        """Chooses a margin for each kind of query by the true neighbours of some vectors of the sample in the sample."""
+        if target >= 1 or len(x) <= k:
+            return
+        asked = np.random.default_rng(seed).permutation(len(x))[:ASKED]
+        cell = self._nearest(x, self.cells)
+        size = np.bincount(cell, minlength=len(self.cells)) / len(x)
+        best, miss, cost = [], [], []
+        levels = np.concatenate([np.arange(0.3, 0.9, 0.05), np.arange(0.9, 1.0, 0.01), [0.995, 1.0]])
+        for lo in range(0, len(asked), 500):
+            q = asked[lo : lo + 500]
+            sim = x[q] @ x.T
+            sim[np.arange(len(q)), q] = -9
+            near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            s = x[q] @ self.cells.T
+            best.append(s.max(1))
+            miss.append(best[-1][:, None] - np.take_along_axis(s, cell[near], 1))  # what each neighbour asks of the margin
+            order = np.argsort(-s, axis=1)
+            cost.append((best[-1][:, None] - np.take_along_axis(s, order, 1), np.cumsum(size[order], axis=1)))
+        best, miss = np.concatenate(best), np.concatenate(miss)
+        gaps, seen = (np.concatenate([c[i] for c in cost]) for i in (0, 1))
+        self.edges = np.quantile(best, np.arange(1, KINDS) / KINDS)
+        kind = np.digitize(best, self.edges)
+        kinds = [np.flatnonzero(kind == j) for j in range(KINDS)]
+        margin = np.array([np.quantile(miss[i], levels) if len(i) else np.zeros(len(levels)) for i in kinds]) + 1e-6
+        look = lambda i, m: seen[i, np.maximum((gaps[i] <= m).sum(1), 1) - 1].mean() if len(i) else 0.0
+        price = np.array([[look(i, m) for m in row] for i, row in zip(kinds, margin)])
+        at, weight = np.zeros(KINDS, int), np.array([len(i) for i in kinds]) / len(asked)
+        while weight @ levels[at] < target and (at < len(levels) - 1).any():
+            # the step that gains most true neighbours for the vectors it makes queries look at
+            gain = [(levels[a + 1] - levels[a]) / max(price[j, a + 1] - price[j, a], 1e-9) if a < len(levels) - 1 and weight[j] else -1.0 for j, a in enumerate(at)]
+            at[int(np.argmax(gain))] += 1
+        self.margins = margin[np.arange(KINDS), at]
+
+    def probes(self, x: np.ndarray, least: int = LEAST) -> np.ndarray:
         """Which cells (columns) each vector looks into."""
         s = x @ self.cells.T
-        out = s >= s.max(1, keepdims=True) - margin
+        best = s.max(1)
+        out = s >= (best - self.margins[np.digitize(best, self.edges)])[:, None]
         if least < s.shape[1]:
             np.put_along_axis(out, np.argpartition(-s, least - 1, axis=1)[:, :least], True, 1)
         else:
@@ -169,8 +215,8 @@ def valid(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & v.isNotNull() & ok).groupBy(F.col(key).alias("key")).agg(F.min(v).alias("vector"))
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5, margin: float = MARGIN) -> DataFrame:
-    """(key, neighbour, similarity, place): the k nearest others of every key."""
+def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5, target: float = TARGET) -> DataFrame:
+    """(key, neighbour, similarity, place): the k nearest others of every key; with target 1 every cell is looked into."""
     spark = vectors.sparkSession
     rows = valid(vectors, key, vector, dim).withColumn("id", F.xxhash64("vector"))
     first = Window.partitionBy("id").orderBy("key")
@@ -188,7 +234,9 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
     sample = kept.select("vec")
     if n > SAMPLE:
         sample = kept.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(SAMPLE / n * (1 << 20)))
-    fitted = Quantiser(_unit(sample.select("vec").toPandas()["vec"] if n > SAMPLE else kept.select("vec").toPandas()["vec"], dim)[1], min(CELLS, int(n**0.5) or 1))
+    sampled = _unit(sample.toPandas()["vec"], dim)[1]
+    fitted = Quantiser(sampled, min(CELLS, int(8 * n**0.5) or 1, max(1, len(sampled) // 4)))
+    fitted.calibrate(sampled, k, target)
     shared = spark.sparkContext.broadcast(fitted)
 
     def encode(batches):
@@ -209,7 +257,7 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
         fit = shared.value
         for b in batches:
             if len(b):
-                look = fit.probes(_unit(b["vec"], dim)[1], margin)
+                look = fit.probes(_unit(b["vec"], dim)[1])
                 for g in range(groups.max() + 1):
                     mine = np.flatnonzero(groups == g)
                     part = look[:, mine]
@@ -220,12 +268,14 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
     asked = coded.select("id", "vec").mapInPandas(ask, "id long, vec binary, grp int, codes binary")
     held = np.bincount(groups, sizes)
     nd = F.element_at(F.array(*(F.lit(int(-(-h // BLOCK)) or 1) for h in held)), F.col("grp") + 1)
-    nq = max(1, -(-n // BLOCK))  # no group is asked by more than all
+    look = fitted.probes(sampled[:ASKED])
+    asking = np.array([look[:, groups == g].any(1).mean() for g in range(groups.max() + 1)])  # share of queries that look into a group
+    nq = F.element_at(F.array(*(F.lit(max(1, int(-(-x * n // BLOCK)))) for x in asking)), F.col("grp") + 1)
     grp = F.element_at(F.array(*map(F.lit, map(int, groups))), F.col("cell") + 1)
     upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
     mine = lambda c: F.pmod(F.shiftright("id", 7), c).cast("int")
-    data = coded.select(grp.alias("grp"), "cell", "id", "first_key", "vec", "codes").select("grp", mine(nd).alias("d"), upto(F.lit(nq)).alias("q"), "cell", "id", "first_key", "vec", "codes")
-    query = asked.select("grp", upto(nd).alias("d"), mine(F.lit(nq)).alias("q"), F.lit(-1).alias("cell"), "id", F.lit(None).cast("string").alias("first_key"), "vec", "codes")
+    data = coded.select(grp.alias("grp"), "cell", "id", "first_key", "vec", "codes").select("grp", mine(nd).alias("d"), upto(nq).alias("q"), "cell", "id", "first_key", "vec", "codes")
+    query = asked.select("grp", upto(nd).alias("d"), mine(nq).alias("q"), F.lit(-1).alias("cell"), "id", F.lit(None).cast("string").alias("first_key"), "vec", "codes")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         fit = shared.value
@@ -248,33 +298,26 @@ def neighbours(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5,
             d64 /= np.linalg.norm(d64, axis=1, keepdims=True)
             ids, dids, keys = q["id"].to_numpy(), d["id"].to_numpy(), d["first_key"].to_numpy()
             top = min(RERANK, len(d))
-            for s in range(0, len(q), 512):
-                scores = np.full((len(qu[s : s + 512]), len(d)), -9, np.float32)
+            q64 = qv.astype(np.float64)
+            q64 /= np.linalg.norm(q64, axis=1, keepdims=True)
+            for s in range(0, len(q), QUERIES):
+                scores = np.full((len(qu[s : s + QUERIES]), len(d)), -9, np.float32)
                 for c, lo, hi in spans:
-                    rows_ = np.flatnonzero(look[s : s + 512, c])
+                    rows_ = np.flatnonzero(look[s : s + QUERIES, c])
                     if len(rows_):
                         scores[rows_[:, None], by[lo:hi]] = qu[s + rows_] @ table[:, by[lo:hi]]
-                cand = np.argpartition(-scores, top - 1, axis=1)[:, :top] if top < len(d) else np.tile(np.arange(len(d)), (len(scores), 1))
-                cand.sort(axis=1)
-                x = qv[s : s + 512].astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                sim = np.round(np.einsum("qd,qcd->qc", x, d64[cand]), 6)
-                sim[(dids[cand] == ids[s : s + 512, None]) | (np.take_along_axis(scores, cand, 1) <= -9)] = -9
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                sims, best = np.take_along_axis(sim, best, 1), np.take_along_axis(cand, best, 1)
-                last = np.take_along_axis(scores, cand, 1).min(1) - TIE
-                for i in np.flatnonzero((last > -9) & ((scores >= last[:, None]).sum(1) > top)):
-                    c = np.flatnonzero(scores[i] >= last[i])
-                    all_ = np.round(d64[c] @ x[i], 6)
-                    all_[dids[c] == ids[s + i]] = -9
-                    first = np.argsort(-all_, kind="stable")[:k]
-                    sims[i], best[i] = all_[first], c[first]
-                row, col = np.nonzero(sims > -5)
-                hit = best[row, col]
-                out["id"].append(ids[s : s + 512][row])
-                out["other"].append(dids[hit])
-                out["similarity"].append(sims[row, col])
-                out["first_key"].append(keys[hit])
+                last = -np.partition(-scores, top - 1, axis=1)[:, top - 1]  # the last of the best RERANK
+                who, what = np.nonzero(scores >= np.maximum(last - TIE, -8)[:, None])
+                sim = np.round(np.einsum("rd,rd->r", q64[s + who], d64[what]), 6)
+                other = dids[what] != ids[s + who]
+                who, what, sim = who[other], what[other], sim[other]
+                o = np.lexsort((what, -sim, who))
+                who, what, sim = who[o], what[o], sim[o]
+                hit = np.arange(len(who)) - np.searchsorted(who, who, side="left") < k
+                out["id"].append(ids[s + who[hit]])
+                out["other"].append(dids[what[hit]])
+                out["similarity"].append(sim[hit])
+                out["first_key"].append(keys[what[hit]])
         empty = {"id": np.int64, "other": np.int64, "similarity": np.float64, "first_key": object}
         return pd.DataFrame({c: np.concatenate(v) if v else np.array([], empty[c]) for c, v in out.items()})
 
