@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text as T
-from anamnesis.operators import fusion, lexical, retrieve, vector
+from anamnesis.operators import fusion, index, lexical, retrieve, vector
 from anamnesis.sources.tables import table
 
 QUERY = "retry cache timeline"
@@ -34,6 +34,36 @@ def bm25_batch(s: SparkSession, d: str) -> DataFrame:
     return lexical.top(lexical.bm25(_docs(s, d), terms), 5).select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), "score", F.col("rank").cast("int").alias("rank"))
 
 
+def _index(s: SparkSession, d: str) -> index.Index:
+    return index.stored(s, f"{d}/documents.parquet", "doc_id", "text")
+
+
+def _best(scores: DataFrame) -> DataFrame:
+    return scores.orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("doc_id"), "score")
+
+
+def bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
+    """Inflected words find each other's documents in the stored index."""
+    return _best(_index(s, d).search(index.asked("retries cached timelines", expand=False), prefixes=False))
+
+
+def bm25_synonyms(s: SparkSession, d: str) -> DataFrame:
+    return _best(_index(s, d).search(index.asked("slow docs"), prefixes=False))
+
+
+def bm25_removed(s: SparkSession, d: str) -> DataFrame:
+    """The index after all pages are taken out: other frequencies and lengths."""
+    pages = table(s, d, "documents").where("doc_kind = 'page'")
+    return _best(_index(s, d).removed(pages, "doc_id").search(index.asked("retries cached timelines", expand=False), prefixes=False))
+
+
+def bm25_added(s: SparkSession, d: str) -> DataFrame:
+    """The index of the notes with the lessons added."""
+    docs = table(s, d, "documents")
+    some = _index(s, d).removed(docs.where("coalesce(doc_kind, '') <> 'note'"), "doc_id")
+    return _best(some.added(docs.where("doc_kind = 'lesson'"), "doc_id", "text").search(index.asked("retries cached timelines", expand=False), prefixes=False))
+
+
 def bm25_memories(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "memories").where("coalesce(is_latest, true) and title is not null and content is not null")
     text = F.concat_ws(" ", "title", "content", "concepts", "files", "memory_type")
@@ -89,11 +119,7 @@ def budget_pack(s: SparkSession, d: str) -> DataFrame:
 
 def context_blocks(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "memories").where("is_latest and project is not null and content is not null")
-    # the newest of a project are offered as blocks
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("project").orderBy(F.desc("updated_at"), "memory_id")
-    m = m.withColumn("r", F.row_number().over(w)).where("r <= 30").select("project", "updated_at", "memory_id", T.estimated_tokens(F.col("content")).alias("tokens"))
+    m = m.select("project", "updated_at", "memory_id", T.estimated_tokens(F.col("content")).alias("tokens"))
     return fusion.packed_skipping(m, ["project"], "updated_at", "memory_id", "tokens", 700)
 
 
@@ -168,7 +194,7 @@ def file_context(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_simple, bm25_prefix, bm25_batch, bm25_memories, index_statistics, vector_topk, vector_batch_topk, vector_dimensions, hybrid_rrf, rrf_diversified, budget_pack, context_blocks,
+        bm25_simple, bm25_prefix, bm25_batch, bm25_stemmed, bm25_synonyms, bm25_removed, bm25_added, bm25_memories, index_statistics, vector_topk, vector_batch_topk, vector_dimensions, hybrid_rrf, rrf_diversified, budget_pack, context_blocks,
         redact_secrets, normalised_observations, token_estimates, memory_fingerprints, query_entities, memory_quality, lesson_recall, containment_search, search_project,
         search_narrative, file_context,
     )
@@ -214,7 +240,32 @@ _KIND += " ELSE 'other' END"
 _FILES = ", ".join(f"json_extract_string(j, '$.{k}')" for k in T.FILE_KEYS)
 _NAMES = ", ".join(f"'{w}'" for w in T.NO_NAMES)
 
+def _stem_sql(forms: dict[str, str], weights: dict[str, float], where: str = "") -> str:
+    """The words of the given forms count as one term each; other words only for lengths."""
+    case = " ".join("WHEN term IN ({}) THEN '{}'".format(", ".join(f"'{w}'" for w in words.split()), stem) for stem, words in forms.items())
+    asked = " UNION ALL ".join(f"SELECT 0 AS q, '{t}' AS term, {w}::DOUBLE AS weight" for t, w in weights.items())
+    out = _DOC.replace(_SIMPLE, asked).replace("p AS (SELECT doc, len(t) AS dl, unnest(t) AS term FROM d)", f"p AS (SELECT doc, dl, CASE {case} ELSE '#' || term END AS term FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM d))")
+    return f"WITH {out.replace('WHERE doc_id IS NOT NULL', 'WHERE doc_id IS NOT NULL' + where)} SELECT doc AS doc_id, score FROM score ORDER BY score DESC, doc LIMIT 20"
+
+
+_INFLECTED = {"retri": "retry retries retried retrying retri", "cach": "cache caches cached caching cach", "timelin": "timeline timelines timelin"}
+_ONCE = {"retri": 1.0, "cach": 1.0, "timelin": 1.0}
+_ALIKE = {
+    "slow": "slow slows slowed slowing slowness", "doc": "doc docs", "document": "document documents documented documenting documentation", "bottleneck": "bottleneck bottlenecks", "latenc": "latency latencies latenc",
+    "perf": "perf perfs", "perform": "perform performs performed performing performance performances", "throughput": "throughput throughputs",
+}
+_ALIKE_WEIGHTS = {"slow": 1.0, "doc": 1.0, "document": 0.7, "bottleneck": 0.7, "latenc": 0.7, "perf": 0.7, "perform": 0.7, "throughput": 0.7}
+
 SQL = {
+    "context_blocks": """WITH RECURSIVE m AS (SELECT project, memory_id, ceil(length(content) / 3.0)::BIGINT AS t, row_number() OVER (PARTITION BY project ORDER BY updated_at DESC NULLS LAST, memory_id DESC) AS r
+          FROM memories WHERE is_latest AND project IS NOT NULL AND content IS NOT NULL),
+        f AS (SELECT project, memory_id, r, t <= 700 AS kept, CASE WHEN t <= 700 THEN t ELSE 0 END AS used FROM m WHERE r = 1
+          UNION ALL SELECT m.project, m.memory_id, m.r, f.used + m.t <= 700, CASE WHEN f.used + m.t <= 700 THEN f.used + m.t ELSE f.used END FROM f JOIN m ON m.project = f.project AND m.r = f.r + 1)
+        SELECT project, memory_id FROM f WHERE kept""",
+    "bm25_stemmed": _stem_sql(_INFLECTED, _ONCE),
+    "bm25_synonyms": _stem_sql(_ALIKE, _ALIKE_WEIGHTS),
+    "bm25_removed": _stem_sql(_INFLECTED, _ONCE, " AND doc_kind IS DISTINCT FROM 'page'"),
+    "bm25_added": _stem_sql(_INFLECTED, _ONCE, " AND doc_kind IN ('note', 'lesson')"),
     "bm25_simple": f"WITH {_DOC} SELECT doc AS doc_id, score FROM score ORDER BY score DESC, doc LIMIT 20",
     "bm25_prefix": "WITH "
     + _DOC.replace(

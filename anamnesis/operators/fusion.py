@@ -47,12 +47,16 @@ def packed_prefix(rows: DataFrame, order: list, tokens: str, budget: int) -> Dat
 def packed_skipping(rows: DataFrame, by: list[str], order: str, key: str, tokens: str, budget: int) -> DataFrame:
     """Rows per group, newest first, skipping those that do not fit what is left: (by..., key) of the rows kept.
 
-    A fold over the group's blocks, which are few by construction (one per session or lesson offered as context).
+    What fits never grows, so of the rows of one size only the newest budget / size can be kept: a group's fold sees a
+    number of rows that is bounded by the budget, however large the group is. Rows of no size always fit.
     """
-    blocks = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(tokens).cast("long").alias("t"))), asc=False).alias("b"))
+    size = F.col(tokens)
+    newest = Window.partitionBy(*by, tokens).orderBy(F.desc_nulls_last(order), F.desc(key))
+    few = rows.where((size > 0) & (size <= budget)).withColumn("_r", F.row_number().over(newest)).where(F.col("_r") * size <= budget)
+    blocks = few.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(tokens).cast("long").alias("t"))), asc=False).alias("b"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(rows.dtypes)[key]}>").alias("kept"))
     fits = lambda a, x: a["used"] + x["t"] <= budget
     step = lambda a, x: F.struct(
         F.when(fits(a, x), a["used"] + x["t"]).otherwise(a["used"]).alias("used"), F.when(fits(a, x), F.array_append(a["kept"], x["k"])).otherwise(a["kept"]).alias("kept")
     )
-    return blocks.select(*by, F.explode(F.aggregate("b", zero, step)["kept"]).alias(key))
+    return blocks.select(*by, F.explode(F.aggregate("b", zero, step)["kept"]).alias(key)).unionByName(rows.where(size <= 0).select(*by, key))
