@@ -153,3 +153,29 @@ def test_segmentation_is_optimal(codes, setting):
     n = len(codes)
     best = min(cost(list(zip((0, *c), (*c, n)))) for r in range(n) for c in itertools.combinations(range(1, n), r))
     assert abs(cost(runs.segment(codes, [1] * n, weight, penalty)) - best) < 1e-9
+
+
+def test_lenient_runs_do_not_depend_on_partitions(spark, monkeypatch):
+    from anamnesis.plans import ordered
+
+    rng = random.Random(4)
+    rows, at = [], 0
+    for session, size in (("hot", 500), ("mixed", 200), ("small", 7)):
+        tool = "a"
+        for _ in range(size):
+            tool = tool if rng.random() < 0.6 else rng.choice("abc")
+            rows.append((f"e{at:05d}", session, at, "tool", tool, 5))
+            at += 1
+    rows += [(f"z{k:05d}", "alternating", k, "tool", "ab"[k % 2], 5) for k in range(300)]
+    df = spark.createDataFrame(rows, "event_id string, session_id string, t int, kind string, tool_name string, duration_ms long").withColumn("ts", F.timestamp_seconds("t"))
+    found = []
+    for n in (1, 7, 40):
+        monkeypatch.setattr(ordered, "partitions", lambda df, rows, n=n: n)
+        found.append(sorted(tuple(r) for r in runs.collapsed(df, *runs.LENIENT).collect()))
+    assert found[0] == found[1] == found[2] and sum(r[4] for r in found[0]) == len(rows)
+    assert [r[4] for r in found[0] if r[0] == "alternating"] == [1, 299]  # half a penalty cheaper than one run
+    monkeypatch.setattr(ordered, "partitions", lambda df, rows: 1)
+    codes = [r[4] for r in rows if r[1] == "hot"]
+    cost = lambda cuts: sum(1.0 + 1.5 * (hi - lo - max(codes[lo:hi].count(c) for c in "abc")) for lo, hi in cuts)
+    ends = list(itertools.accumulate(r[4] for r in sorted(found[0], key=lambda r: r[2]) if r[0] == "hot"))
+    assert abs(cost(zip([0, *ends[:-1]], ends)) - cost(runs.segment(codes, [1] * len(codes), 1.5, 1.0))) < 1e-9
