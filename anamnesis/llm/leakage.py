@@ -5,8 +5,8 @@ answers are searched backward through the wavelet ranks, occurrences are located
 windows that overlap or touch are merged into spans. Words that no item uses cannot be part of an occurrence, nor can
 stretches of fewer than LEAST known words, so the index holds only the other stretches; nothing is lost by that.
 
-The items are the stated query set. They are read in slices of at most SLICE items, each broadcast on its own, so what
-is broadcast stays bounded however many there are.
+The items are the stated query set. They are read in slices of about SLICE items and SLICE_BYTES bytes at most, each
+broadcast on its own; every shard is read and cut into words once and searched for one slice after the other.
 
 Defined results: null or blank texts, questions and answers have no passages; passages with fewer than LEAST words
 cannot leak; equal passages of several items are reported for each item; rows that repeat give equal results once.
@@ -26,7 +26,7 @@ from anamnesis.llm.fmindex import FMIndex
 from anamnesis.plans.scratch import spread
 
 LEAST = 12
-SLICE = 20_000  #: items searched at once
+SLICE, SLICE_BYTES = 20_000, 32 << 20  #: items searched at once, and bytes of their texts
 SHARD = 2_000_000  #: characters of text after which a shard is closed
 WORD = re.compile(r"[^\W_]+")
 
@@ -50,12 +50,12 @@ def patterns(items: list[tuple[int, str | None, str | None]], least: int = LEAST
     return vocab, w, u[:, 0], u[:, 1]
 
 
-def _occurrences(texts: list[tuple[int, str]], vocab: dict[str, int], w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document's number, first word, window) of each occurrence in a shard."""
+def _occurrences(texts: list[list[str]], vocab: dict[str, int], w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's number, first word, window) of each occurrence in a shard, given as the words of its documents."""
     get = vocab.get
     pieces, docs, offsets, at = [], [], [], 0
-    for k, (_, text) in enumerate(texts):
-        ids = np.fromiter((get(x, 0) for x in tokens(text)), np.int32)
+    for k, words in enumerate(texts):
+        ids = np.fromiter((get(x, 0) for x in words), np.int32, len(words))
         if len(ids) < least:
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]])))
@@ -82,23 +82,24 @@ def spans(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     """(doc_id, item_id, first_word, last_word): the stretches of a document that stand in an item's question or answer."""
     spark = documents.sparkSession
     chosen = items.select("item_id", "question", "answer").where("item_id is not null")
-    slices = max(1, -(-chosen.count() // SLICE))
-    out = None
-    for k in range(slices):
-        part = chosen.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else chosen
-        query = spark.sparkContext.broadcast(patterns([tuple(r) for r in part.collect()], least))
-
-        def search(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
-            vocab, w, use_w, use_item = query.value
-            held: list[tuple[int, str]] = []
-            size = 0
-
-            def close() -> Iterator[pa.RecordBatch]:
+    n, size = chosen.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()
+    slices = max(1, -(-n // SLICE), -(-(size or 0) // SLICE_BYTES))
+    parts = [chosen.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) for k in range(slices)] if slices > 1 else [chosen]
+    queries = [spark.sparkContext.broadcast(patterns([tuple(r) for r in part.collect()], least)) for part in parts]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for query in queries:
+                vocab, w, use_w, use_item = query.value
                 if not len(w):
-                    return
+                    continue
                 doc, first, which = _occurrences(held, vocab, w, least)
                 if not len(doc):
-                    return
+                    continue
                 lo, hi = np.searchsorted(use_w, which, "left"), np.searchsorted(use_w, which, "right")
                 n = hi - lo
                 doc, first = np.repeat(doc, n), np.repeat(first, n)
@@ -108,22 +109,20 @@ def spans(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
                 new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] > first[:-1] + least)])
                 a = np.flatnonzero(new)
                 z = np.concatenate([a[1:] - 1, [len(doc) - 1]])
-                ids = np.array([i for i, _ in held], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[a]]), pa.array(item[a]), pa.array(first[a]), pa.array(first[z] + least - 1)], names=["doc_id", "item_id", "first_word", "last_word"])
-
-            for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    held.append((i, t))
-                    size += len(t)
-                    if size >= SHARD:
-                        yield from close()
-                        held, size = [], 0
-            if held:
-                yield from close()
-
-        got = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(search, "doc_id long, item_id long, first_word long, last_word long")
-        out = got if out is None else out.unionByName(got)
-    return out
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc[a]]), pa.array(item[a]), pa.array(first[a]), pa.array(first[z] + least - 1)], names=["doc_id", "item_id", "first_word", "last_word"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(i)
+                held.append(tokens(t))
+                size += len(t)
+                if size >= SHARD:
+                    yield from close()
+                    ids, held, size = [], [], 0
+        if held:
+            yield from close()
+
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(search, "doc_id long, item_id long, first_word long, last_word long")
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:

@@ -180,4 +180,14 @@ SQL: dict[str, str] = {
         e AS (SELECT item_id, regexp_extract_all(lower(p), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, question AS p FROM eval_items UNION ALL SELECT item_id, answer FROM eval_items) WHERE item_id IS NOT NULL AND p IS NOT NULL),
         ew AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
         SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (x)""",
+    "p9_items": r"""
+        WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        dw AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+        e AS (SELECT item_id, regexp_extract_all(lower(p), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, question AS p FROM eval_items UNION ALL SELECT item_id, answer FROM eval_items) WHERE item_id IS NOT NULL AND p IS NOT NULL),
+        ew AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12)),
+        h AS (SELECT doc_id, item_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 OR lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM dw JOIN ew USING (x)),
+        g AS (SELECT doc_id, item_id, i, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS g FROM h),
+        s AS (SELECT doc_id, item_id, max(i) - min(i) + 12 AS n FROM g GROUP BY doc_id, item_id, g),
+        t AS (SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_spans, max(n) AS longest FROM s GROUP BY item_id)
+        SELECT DISTINCT i.item_id, i.item_type, coalesce(n_docs, 0) AS n_docs, coalesce(n_spans, 0) AS n_spans, coalesce(longest, 0) AS longest FROM eval_items i LEFT JOIN t USING (item_id)""",
 }
