@@ -13,7 +13,7 @@ from anamnesis.sources.tables import table
 
 
 class Store:
-    """Functions take keyword arguments and return DataFrames; nothing runs before a result is asked for."""
+    """Functions take keyword arguments and return DataFrames; a search reads what it needs of the tables while its DataFrame is built."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
