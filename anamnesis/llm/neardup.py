@@ -32,10 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.marks import among, marked
+from anamnesis.llm.marks import among, dense, marked
 from anamnesis.plans.batches import bounded
 from anamnesis.plans.scratch import cores, written
 
@@ -59,6 +60,13 @@ class Order:
 
     level: np.ndarray  #: per counter: 0 for words of one record, else a bound of the count as a level
     pivots: np.ndarray  #: ranks at which fragments begin
+    copy: Broadcast | None = None
+
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The order on all executors: one copy of it, however many steps ask."""
+        if self.copy is None:
+            self.copy = spark.sparkContext.broadcast(Order(self.level, self.pivots))
+        return self.copy
 
     def rank(self, h: np.ndarray) -> np.ndarray:
         return self.level[h & (len(self.level) - 1)] + (h.view(np.uint64) >> np.uint64(11)) / 2.0**53
@@ -91,10 +99,8 @@ def classes(records: DataFrame, fragments: int = FRAGMENTS, field: str = "field_
     tallied = written(r.mapInArrow(tally, "field string, id string, class_id long, slot int, n long"), "neardup-tally")
     members = tallied.where("id is not null").groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
     counted = tallied.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    got = counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level")).toPandas()  # five bytes a counter
-    level = np.zeros(1 << bits, np.int8)
-    level[got["slot"].to_numpy()] = got["level"].to_numpy()
-    mass = np.bincount(level, minlength=128) * 2.0 ** (np.arange(128) / STEPS)
+    level = dense(counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level")), 1 << bits, np.int8)
+    mass = sum(np.bincount(x, minlength=128) for x in np.split(level, 64)) * 2.0 ** (np.arange(128) / STEPS)
     mass[0] = 0
     total = np.cumsum(mass)
     cuts = total[-1] * np.arange(1, fragments) / fragments
@@ -126,7 +132,7 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _postings(sets: DataFrame, words_: Order, t: float) -> DataFrame:
     """A row for each word near a set's front: the word (and block pair) as key, the class, meta and the signature."""
-    shared = sets.sparkSession.sparkContext.broadcast(words_)
+    shared = words_.sent(sets.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_ = shared.value
@@ -243,7 +249,7 @@ def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) ->
 
     Of classes that are not marked most are left out.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(words_)
+    shared = words_.sent(sets.sparkSession)
     asked = sets.sparkSession.sparkContext.broadcast(marks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +276,8 @@ def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) ->
 def similar_classes(sets: DataFrame, words_: Order, t: float = 0.7) -> DataFrame:
     """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
     pairs = written(candidates(sets, words_, t), "neardup-pairs")
-    cut = segments(sets, words_, marked(pairs.select(F.explode(F.array("a", "b"))), len(words_.level).bit_length() - 1)).groupBy("key").agg(F.first("words").alias("words"))
+    marks = marked(pairs.select(F.explode(F.array("a", "b"))), len(words_.level).bit_length() - 1)
+    cut = segments(sets, words_, marks).groupBy("key").agg(F.first("words").alias("words"))
     # one row for each pair and fragment that may hold common words
     asked = pairs.withColumn("fragment", F.explode(F.sequence("first", F.lit(len(words_.pivots)))))
     asked = asked.select("a", "b", "both", F.xxhash64("a", "fragment").alias("ka"), F.xxhash64("b", "fragment").alias("kb"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from anamnesis.llm import leakage, neardup, runs
+from anamnesis.llm import leakage, marks, neardup, runs
 from anamnesis.llm.fmindex import FMIndex, suffix_array
 
 TEXT = "field_name string, id string, text string"
@@ -72,6 +72,26 @@ def test_overlaps_are_summed_over_fragments(spark):
     assert len(whole) == 3 and part < whole
 
 
+def test_counters_come_to_the_driver_in_blocks(spark, monkeypatch):
+    """A map of counters, or of marks, is collected as a few blocks of bytes and never as a row for each place."""
+    got, kind = [], type(spark.range(1))
+    keep = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: got.append(keep(df)) or got[-1])
+    monkeypatch.setattr(kind, "toPandas", lambda df: pytest.fail("rows of counters go to the driver"))
+    n, bits = 50_000, 20
+    places = spark.range(n).select((F.col("id") * 7 % (1 << bits)).cast("int").alias("at"), (F.col("id") % 100 + 1).cast("tinyint").alias("level"))
+    level = marks.dense(places, 1 << bits, np.int8)
+    k = np.arange(n)
+    assert level.dtype == np.int8 and len(level) == 1 << bits
+    assert (level[k * 7 % (1 << bits)] == k % 100 + 1).all() and np.count_nonzero(level) == n
+    keys = spark.range(n).select(F.xxhash64("id").alias("k"))
+    seen = marks.marked(keys, 25)
+    assert marks.among(seen, keys.toArrow().column(0).to_numpy()).all()
+    rows = [("f", f"r{k}", f"alpha beta gamma delta word{k} other{k // 2}") for k in range(200)]
+    assert neardup.classes(spark.createDataFrame(rows, TEXT))[2].level.any()
+    assert max(len(x) for x in got) <= (1 << 20) >> marks.DENSE
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_records(spark.createDataFrame([], TEXT)).count() == 0
 
