@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.marks import among, dense, marked
 from anamnesis.plans.batches import bounded
-from anamnesis.plans.scratch import cores, written
+from anamnesis.plans.scratch import cores, shuffles_dropped, written
 
 LEAST_BITS, MOST_BITS = 16, 25  #: counters of the sketch; a byte each, so at most 32 MB are sent to every task
 STEPS = 4  #: levels of a counter for each doubling
@@ -99,7 +99,8 @@ def classes(records: DataFrame, fragments: int = FRAGMENTS, field: str = "field_
     tallied = written(r.mapInArrow(tally, "field string, id string, class_id long, slot int, n long"), "neardup-tally")
     members = tallied.where("id is not null").groupBy("field", "id").agg(F.min("class_id").alias("class_id"))
     counted = tallied.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    level = dense(counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level")), 1 << bits, np.int8)
+    with shuffles_dropped(records.sparkSession):
+        level = dense(counted.select("slot", F.ceil(F.log2("n") * STEPS - 1e-9).cast("tinyint").alias("level")), 1 << bits, np.int8)
     mass = sum(np.bincount(x, minlength=128) for x in np.split(level, 64)) * 2.0 ** (np.arange(128) / STEPS)
     mass[0] = 0
     total = np.cumsum(mass)
@@ -275,8 +276,9 @@ def segments(sets: DataFrame, words_: Order, marks: np.ndarray | None = None) ->
 
 def similar_classes(sets: DataFrame, words_: Order, t: float = 0.7) -> DataFrame:
     """Pairs of classes (a, b, similarity) with intersection / union >= t, a < b."""
-    pairs = written(candidates(sets, words_, t), "neardup-pairs")
-    marks = marked(pairs.select(F.explode(F.array("a", "b"))), len(words_.level).bit_length() - 1)
+    with shuffles_dropped(sets.sparkSession):
+        pairs = written(candidates(sets, words_, t), "neardup-pairs")
+        marks = marked(pairs.select(F.explode(F.array("a", "b"))), len(words_.level).bit_length() - 1)
     cut = segments(sets, words_, marks).groupBy("key").agg(F.first("words").alias("words"))
     # one row for each pair and fragment that may hold common words
     asked = pairs.withColumn("fragment", F.explode(F.sequence("first", F.lit(len(words_.pivots)))))

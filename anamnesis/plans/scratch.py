@@ -59,6 +59,20 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         del _made[before:]
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected inside it gives its shuffle files back at once, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage is cut, and any executor may be lost."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm import leakage, marks, neardup, runs
 from anamnesis.llm.fmindex import FMIndex, suffix_array
+from anamnesis.plans import scratch
 
 TEXT = "field_name string, id string, text string"
 
@@ -92,6 +93,20 @@ def test_counters_come_to_the_driver_in_blocks(spark, monkeypatch):
     assert max(len(x) for x in got) <= (1 << 20) >> marks.DENSE
 
 
+def test_neardup_leaves_no_shuffle_files_of_its_postings(spark):
+    before = spark.conf.get(scratch.CLEANUP)
+    rows = [("f", f"r{k}", f"alpha beta gamma delta word{k} other{k // 2}") for k in range(200)]
+    members, sets, words_ = neardup.classes(spark.createDataFrame(rows, TEXT))
+    seen = []
+    keep = neardup.written
+    neardup.written = lambda df, name: seen.append(spark.conf.get(scratch.CLEANUP)) or keep(df, name)
+    try:
+        neardup.similar_classes(sets, words_).count()
+    finally:
+        neardup.written = keep
+    assert seen == ["true"] and spark.conf.get(scratch.CLEANUP) == before
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_records(spark.createDataFrame([], TEXT)).count() == 0
 
