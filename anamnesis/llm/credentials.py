@@ -8,8 +8,10 @@ way, scores all candidates; its scores are calibrated against held-out labels, a
 The patterns only label: no verdict of theirs is a feature or overrules a score. Plain words, names, paths and numbers
 are candidates where a name or sentence hands them over as a secret.
 
-The chain and the regression are fitted on at most SAMPLE texts and SAMPLE_BYTES bytes of texts up to LONGEST (by a hash
-of the text), the only bounded step; all texts are scored whole. Equal texts of a batch are scored once.
+Chain, regression and calibration are fitted on all texts. The texts are read once: their words, and the candidates with
+their features, are stored, words are counted by a shuffle, and each step of the fit (L-BFGS) is a sum over all labelled
+candidates, made of whole numbers, so that the weights depend neither on partitions nor on their order. The driver holds
+sums of fixed size only. Equal texts of a batch are described once.
 
 Defined results: null texts have no credentials; a masked text differs from the given one only inside the secrets, each
 of which becomes MASK; rows without id are left out; several rows of one id are reported once per field.
@@ -21,7 +23,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
@@ -30,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.plans.scratch import spread
+from anamnesis.llm.marks import dense
+from anamnesis.plans.scratch import cores, shuffles_dropped, spread, written
 
 MASK = "[REDACTED_SECRET]"
-SAMPLE, SAMPLE_BYTES, LONGEST = 15_000, 20_000_000, 50_000  #: texts the models are fitted on, their bytes, and the longest of them
 BITS = 15  #: hashed features
+RIDGE, STEPS, KEPT = 3.0, 60, 10  #: of the fit: what large weights cost, steps at most, and steps that shape the next one
+WHOLE = 1 << 20  #: sums over candidates are made in whole numbers of this part of one
+BINS = 64  #: of a raw score, for the calibration
 THRESHOLD = 0.5
 
 # Words for secrets, words for harmless identifiers, and public formats of keys.
@@ -164,15 +169,29 @@ class Chain:
 
     ALPHABET = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789_-./+=")}
 
-    def __init__(self, words: Counter):
-        k = len(self.ALPHABET) + 1
-        n = np.ones((k, k, k))
-        for w, c in words.items():
-            x = [0, 0, *(self.ALPHABET.get(ch, 0) for ch in w.lower()), 0]
-            for a, b, d in zip(x, x[1:], x[2:]):
-                n[a, b, d] += min(c, 50)
+    SIZE = len(ALPHABET) + 1
+    CODES = np.zeros(128, np.int64)  #: by ASCII code
+    CODES[[*map(ord, ALPHABET)]] = [*ALPHABET.values()]
+
+    def __init__(self, counts: np.ndarray):
+        n = 1.0 + counts.reshape((self.SIZE,) * 3)
         self.table = np.log(n / n.sum(2, keepdims=True))
 
+    @classmethod
+    def counts(cls, words: list[str], n: Iterable[int]) -> np.ndarray:
+        """How often each three characters follow each other in different words that occur so often; a word counts for 50 at most."""
+        if not words:
+            return np.zeros(cls.SIZE**3, np.int64)
+        low = [w.lower() for w in words]
+        x = np.frombuffer("".join(f"\0\0{w}\0" for w in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = np.where(x < 128, cls.CODES[np.minimum(x, 127)], 0)
+        size = np.fromiter(map(len, low), np.int64, len(low)) + 3
+        inside = np.ones(len(x), bool)
+        inside[np.cumsum(size) - 1] = inside[np.cumsum(size) - 2] = False
+        at = np.flatnonzero(inside)
+        weights = np.repeat(np.minimum(np.fromiter(n, np.int64, len(low)), 50), size - 2)
+        return np.bincount((x[at] * cls.SIZE + x[at + 1]) * cls.SIZE + x[at + 2], weights, cls.SIZE**3).astype(np.int64)
+
     def score(self, v: str) -> float:
         x = [0, 0, *(self.ALPHABET.get(ch, 0) for ch in v.lower()), 0]
         return float(self.table[x[:-2], x[1:-1], x[2:]].mean()) if v else 0.0
@@ -284,8 +303,18 @@ def _h(s: str) -> int:
 
 def described(c: Candidate, chain: Chain, file: str) -> list[int]:
     """Hashed features of a candidate."""
+    return completed(*before_chain(c, file), chain.score(c.value))
+
+
+def completed(features: list[int], tail: str, ll: float) -> list[int]:
+    """The features of before_chain with those that the chain's score makes."""
+    return sorted({*features, _h(f"ll{int(ll * 2)}"), _h(f"ll{int(ll * 2)}-{tail}")})
+
+
+def before_chain(c: Candidate, file: str) -> tuple[list[int], str]:
+    """The features of a candidate that need no chain, and what its score is looked at together with."""
     v, (left, right) = c.value, line_of(c)
-    ll, e, n = chain.score(v), entropy(v), len(v)
+    e, n = entropy(v), len(v)
     kinds = (bool(re.search(r"\d", v)), bool(re.search(r"[a-z]", v)), bool(re.search(r"[A-Z]", v)), bool(re.search(r"[^\w]", v)))
     shape = "hex" if re.match(r"[0-9a-f]+$", v) else "uuid" if UUID.match(v) else "phrase" if PHRASE.match(v) else "scrambled" if scrambled(v) else "loose" if LOOSE.match(v) else "path" if is_path(v) else "name" if NAME_LIKE.match(v) else "mixed"
     ref = "ref" if REFERENCE.search(v) else "hole" if PLACEHOLDER.search(v) else "lit"
@@ -296,13 +325,13 @@ def described(c: Candidate, chain: Chain, file: str) -> list[int]:
     secret, harmless = secret_named(name), bool(HARMLESS_RE.search(" ".join(parts)))
     near, further = word_for_secret(" ".join(SPLIT.findall(left[-60:]))), word_for_secret(c.before + " " + right)
     f = [
-        "bias", f"ll{int(ll * 2)}", f"e{int(e * 2)}", f"n{min(n // 4, 12)}", f"k{kinds}", f"shape-{shape}", f"form-{c.form}", f"ref-{ref}", f"ref-{ref}-{secret}", f"ref-{ref}-{near}-{c.form}",
-        f"{shape}-{ref}-{c.form}", f"{shape}-{secret}-{harmless}", f"{shape}-strong-{strong(c, name)}", f"{shape}-{near}-{further}-{ref}", f"ll{int(ll * 2)}-{secret}-{near}", f"e{int(e)}-{secret}-{near}-{ref}",
+        "bias", f"e{int(e * 2)}", f"n{min(n // 4, 12)}", f"k{kinds}", f"shape-{shape}", f"form-{c.form}", f"ref-{ref}", f"ref-{ref}-{secret}", f"ref-{ref}-{near}-{c.form}",
+        f"{shape}-{ref}-{c.form}", f"{shape}-{secret}-{harmless}", f"{shape}-strong-{strong(c, name)}", f"{shape}-{near}-{further}-{ref}", f"e{int(e)}-{secret}-{near}-{ref}",
         f"file-{file}", f"file-{file}-{shape}", f"known-{bool(KNOWN_HEAD.match(v))}", f"head-{v[:4]}" if n > 8 else "short",
     ]
     f += [f"name-{p}" for p in parts[-3:]] + [f"l-{w}" for w in lefts] + [f"r-{w}" for w in rights]
     f += [f"l{i}-{w}" for i, w in enumerate(lefts[::-1][:3])] + [f"name-{p}-{shape}" for p in parts[-1:]]
-    return sorted({_h(x) for x in f})
+    return sorted({_h(x) for x in f}), f"{secret}-{near}"
 
 
 def file_of(text: str, tool: str | None) -> str:
@@ -323,46 +352,129 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale[0] * z + self.scale[1]))))
 
 
-def fit(texts: list[tuple[str, str | None]], seed: int = 11, without: str | None = None) -> Model:
-    """Chain, regression and calibration from weakly labelled candidates of the given (text, tool).
+WORD, LONG, MIXED = re.compile(r"[A-Za-z][\w.-]{2,}"), re.compile(r"\S{30,}"), re.compile(r"\d.*[A-Za-z].*\d")
+
+
+def words_of(texts: Iterable[str]) -> Counter:
+    """Ordinary words and names with their numbers."""
+    n: Counter = Counter()
+    for t in texts:
+        n.update(WORD.findall(LONG.sub(" ", t)))
+    return Counter({w: k for w, k in n.items() if not MIXED.search(w)})
+
+
+def examples(c: Candidate) -> list[tuple[Candidate, int | None]]:
+    """A candidate with its label, and of each third secret the same place with a reference or placeholder in it, which is no secret."""
+    y = label(c)
+    out = [(c, y)]
+    k = zlib.crc32(f"{c.before}\0{c.value}".encode())
+    if y and c.form != "pem" and k % 3 == 0:
+        v = INSTEAD[k // 3 % len(INSTEAD)]
+        out.append((replace(c, value=v, end=c.start + len(v), features=[], name=None), 0))
+    return out
+
+
+def held(c: Candidate) -> bool:
+    """A fifth of the values is held out."""
+    return zlib.crc32(c.value.encode()) % 5 == 0
+
+
+def _scores(w: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Raw scores of candidates with n features each, which x has one after another."""
+    return np.add.reduceat(w[x], np.cumsum(n) - n)
+
+
+def _slope(w: np.ndarray, cost: tuple[float, float], x: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The slope of the loss over these candidates, and at last the loss, in whole parts."""
+    z = np.clip(_scores(w, x, n), -30, 30)
+    p, c = 1 / (1 + np.exp(-z)), np.where(y > 0, *cost)
+    slope = np.bincount(x, np.repeat(np.rint(c * (p - y) * WHOLE), n), 1 << BITS)
+    return np.append(slope, np.rint(c * np.log1p(np.exp(np.where(y > 0, -z, z))) * WHOLE).sum()).astype(np.int64)
+
+
+def _spectrum(w: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of these candidates have each raw score, by label."""
+    z = np.rint((np.clip(_scores(w, x, n), -30, 30) + 30) * BINS).astype(np.int64)
+    return np.bincount(z * 2 + (y > 0), minlength=2 * (60 * BINS + 1))
+
+
+def least(value: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int) -> np.ndarray:
+    """Where a smooth convex function is least (L-BFGS): value gives it and its slope."""
+    w = np.zeros(size)
+    f, g = value(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(STEPS):
+        q, shares = g.copy(), []
+        for s, d, rho in reversed(past):
+            shares.append(rho * (s @ q))
+            q -= shares[-1] * d
+        q *= 1 / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else min(1.0, 1 / max(1e-12, np.abs(g).sum()))
+        for (s, d, rho), a in zip(past, reversed(shares)):
+            q += s * (a - rho * (d @ q))
+        step, fall = 1.0, float(g @ q)
+        while step > 1e-3:
+            there = w - step * q
+            f2, g2 = value(there)
+            if f2 <= f - 1e-4 * step * fall:
+                break
+            step /= 2
+        else:
+            break
+        s, d, done = there - w, g2 - g, f - f2 <= 1e-4 * f
+        if s @ d > 1e-12:
+            past = [*past[1 - KEPT :], (s, d, 1 / float(s @ d))]
+        w, f, g = there, f2, g2
+        if done:
+            break
+    return w
+
+
+def weights(total: Callable[..., np.ndarray], n: int, hot: int) -> np.ndarray:
+    """The regression over n labelled candidates of which so many are secrets; total(_slope, w, cost) sums over all of them."""
+    if not 0 < hot < n:
+        return np.zeros(1 << BITS)
+    share = hot / n
+    cost = (min(20.0, 0.5 / share), 0.5 / (1 - share))
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        got = total(_slope, w, cost) / WHOLE
+        return (float(got[-1]) + RIDGE / 2 * float(w @ w)) / n, (got[:-1] + RIDGE * w) / n
+
+    return least(value, 1 << BITS)
+
+
+def calibrated(spectrum: np.ndarray) -> tuple[tuple[float, float], dict[str, float]]:
+    """Scale and shift of the score by the labels held out, and how right it is on them."""
+    by = spectrum.reshape(-1, 2).astype(float)
+    z, n, hot = np.arange(len(by)) / BINS - 30, by.sum(1), by[:, 1]
+    a, b, size = 1.0, 0.0, float(by.sum())
+    chance = lambda: 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+    if 0 < hot.sum() < size:
+        for _ in range(300):
+            d = chance() * n - hot
+            a, b = a - 0.05 * float((d * z).sum() / size) / max(1.0, float((z * z * n).sum() / size) ** 0.5), b - 0.05 * float(d.sum() / size)
+    p = chance() >= THRESHOLD
+    hit = float(hot[p].sum())
+    return (a, b), {"n": size, "precision": hit / max(1.0, float(n[p].sum())), "recall": hit / max(1.0, float(hot.sum()))}
+
+
+def fit(texts: list[tuple[str, str | None]], without: str | None = None) -> Model:
+    """Chain, regression and calibration from weakly labelled candidates of the given (text, tool), as trained() fits them over a table.
 
     Held out are a fifth of the values, or with ``without`` all candidates of that form, of which no label is then seen.
     """
-    words: Counter = Counter()
-    found: list[tuple[Candidate, str, int]] = []
-    for t, tool in texts:
-        cs = candidates(t)
-        words.update(w for w in re.findall(r"[A-Za-z][\w.-]{2,}", re.sub(r"\S{30,}", " ", t)) if not re.search(r"\d.*[A-Za-z].*\d", w))
-        file = file_of(t, tool)
-        found += [(c, file, y) for c in cs if (y := label(c)) is not None]
-    chain = Chain(words)
-    # the same places with references and placeholders in them are no secrets: each third one is shown that way too
-    found += [(replace(c, value=v, end=c.start + len(v), features=[], name=None), f, 0) for k, (c, f, y) in enumerate(found) if y and c.form != "pem" and k % 3 == 0 for v in [INSTEAD[k // 3 % len(INSTEAD)]]]
-    rows = [(described(c, chain, f), y, zlib.crc32(c.value.encode()) % 5 if without is None else c.form != without) for c, f, y in found]
-    train, held = [(x, y) for x, y, k in rows if k], [(x, y) for x, y, k in rows if not k]
-    w = np.zeros(1 << BITS)
-    if any(y for _, y in train) and not all(y for _, y in train):
-        rng, g2 = np.random.default_rng(seed), np.full(1 << BITS, 1e-6)
-        share = sum(y for _, y in train) / len(train)
-        cost = {1: min(20.0, 0.5 / share), 0: 0.5 / (1 - share)}
-        for _ in range(6):
-            for k in rng.permutation(len(train)):
-                x, y = train[k]
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[x].sum()))))
-                g = cost[y] * (p - y) + 1e-5 * w[x]
-                g2[x] += g * g
-                w[x] -= 0.3 * g / np.sqrt(g2[x])
-    z = np.array([w[x].sum() for x, _ in held]) if held else np.zeros(0)
-    y = np.array([y for _, y in held], float)
-    a, b = 1.0, 0.0
-    if len(y) and 0 < y.mean() < 1:
-        for _ in range(300):  # scale and shift of the score by the held-out labels
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            d = p - y
-            a, b = a - 0.05 * float((d * z).mean()) / max(1.0, float((z * z).mean()) ** 0.5), b - 0.05 * float(d.mean())
-    p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) >= THRESHOLD
-    hit = float((p & (y > 0)).sum())
-    return Model(chain, w, (a, b), {"n": float(len(y)), "precision": hit / max(1.0, float(p.sum())), "recall": hit / max(1.0, float(y.sum()))})
+    words = words_of(t for t, _ in texts)
+    chain = Chain(Chain.counts(list(words), words.values()))
+    rows = [(described(x, chain, file_of(t, tool)), y, held(x) if without is None else x.form == without) for t, tool in texts for c in candidates(t) for x, y in examples(c) if y is not None]
+
+    def total(out: bool) -> Callable[..., np.ndarray]:
+        own = [(f, y) for f, y, k in rows if k == out]
+        x = np.array([i for f, _ in own for i in f], np.int64)
+        n, y = np.array([len(f) for f, _ in own], np.int64), np.array([y for _, y in own], np.int64)
+        return lambda fn, *given: fn(*given, x, n, y) if own else np.zeros(2 * (60 * BINS + 1), np.int64)
+
+    w = weights(total(False), sum(not k for _, _, k in rows), sum(y for _, y, k in rows if not k))
+    return Model(chain, w, *calibrated(total(True)(_spectrum, w)))
 
 
 def secrets(text: str, tool: str | None, model: Model) -> list[tuple[int, int, float]]:
@@ -394,20 +506,96 @@ def _fields(observations: DataFrame, names: tuple[str, ...]) -> DataFrame:
 FIELDS = ("tool_input", "tool_output", "user_prompt")
 
 
-def trained(texts: DataFrame) -> Model:
-    """The models, from at most about SAMPLE of the texts, chosen by hash."""
-    short = texts.where(F.octet_length("text") <= LONGEST)
-    n, size = short.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    share = min(1.0, SAMPLE / max(n, 1), SAMPLE_BYTES / max(size or 0, 1))
-    keep = short.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return fit([(r["text"], r["tool_name"]) for r in keep.select("text", "tool_name").orderBy(F.xxhash64("text"), "text", "tool_name").collect()])
+CANDIDATE = "obs_id string, field_name string, label int, held boolean, value string, tail string, features binary, words array<string>, counts array<int>"
+EXAMPLE = "obs_id string, field_name string, label int, held boolean, features binary"
+PA = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, PA[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
 
+def _bytes(features: list[int]) -> bytes:
+    return np.array(features, np.uint16).tobytes()
 
-def scanned(observations: DataFrame, names: tuple[str, ...] = FIELDS, with_text: bool = True) -> DataFrame:
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each candidate, with obs_id null for those that only the fit sees; a row for the words of each batch."""
+    for b in batches:
+        rows, known, texts = [], {}, b.column("text").to_pylist()
+        for o, tool, name, text in zip(*(b.column(c).to_pylist() for c in ("obs_id", "tool_name", "field_name")), texts):
+            if (tool, text) not in known:
+                file = file_of(text, tool)
+                known[tool, text] = [(x is c, y, held(x), x.value, tail, _bytes(f)) for c in candidates(text) for x, y in examples(c) for f, tail in [before_chain(x, file)]]
+            rows += [(o if own else None, name, *x, None, None) for own, *x in known[tool, text]]
+        words = words_of(texts)
+        if words:
+            rows.append((*[None] * 7, list(words), list(words.values())))
+        if rows:
+            yield _batch(rows, CANDIDATE)
+
+
+def _summed(rows: DataFrame, fn: Callable[..., np.ndarray], *given) -> np.ndarray:
+    """The sum of fn(*given, features, number of features, label) over all rows; the driver gets at most one sum for each core."""
+    sent = rows.sparkSession.sparkContext.broadcast((fn, given))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, (fn, given) = None, sent.value
+        for b in batches:
+            if b.num_rows:
+                f = b.column("features")
+                at = np.frombuffer(f.buffers()[1], np.int32)[f.offset : f.offset + len(f) + 1] // 2
+                x = np.frombuffer(f.buffers()[2], np.uint16, at[-1])[at[0] :].astype(np.int64)
+                got = fn(*given, x, np.diff(at), b.column("label").to_numpy(zero_copy_only=False).astype(np.int64))
+                out = got if out is None else out + got
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sum"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = [np.frombuffer(x, np.int64) for b in batches for x in b.column("sum").to_pylist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(out[1:], out[0]).tobytes()], pa.binary())], names=["sum"])
+
+    parts = rows.select("features", "label").mapInArrow(part, "sum binary").repartition(cores(rows.sparkSession)).mapInArrow(join, "sum binary").collect()
+    sent.destroy()
+    return sum((np.frombuffer(r["sum"], np.int64) for r in parts[1:]), np.frombuffer(parts[0]["sum"], np.int64)) if parts else np.zeros(2 * (60 * BINS + 1), np.int64)
+
+
+def trained(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """The models, from all of the texts, and the candidates of these (obs_id, field_name, features)."""
+    spark = texts.sparkSession
+    with shuffles_dropped(spark):
+        read = written(texts.mapInArrow(_read, CANDIDATE), "credentials-read")
+        words = read.where("words is not null").select(F.inline(F.arrays_zip("words", "counts"))).groupBy("words").agg(F.sum("counts").alias("n"))
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = sum((Chain.counts(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches), np.zeros(Chain.SIZE**3, np.int64))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["at", "n"])
+
+        counts = words.mapInArrow(follow, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        chain = Chain(dense(counts, 1 << 17, np.int64)[: Chain.SIZE**3])
+        sent = spark.sparkContext.broadcast(chain)
+
+        def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols = [b.column(c).to_pylist() for c in ("obs_id", "field_name", "label", "held", "value", "tail", "features")]
+                if b.num_rows:
+                    yield _batch([(*x, _bytes(completed(np.frombuffer(f, np.uint16).tolist(), tail, sent.value.score(v)))) for *x, v, tail, f in zip(*cols)], EXAMPLE)
+
+        rows = written(read.where("features is not null").select(*read.columns[:7]).mapInArrow(complete, EXAMPLE), "credentials-examples")
+        known = rows.where("label is not null")
+        n, hot = known.where("not held").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        w = weights(lambda *x: _summed(known.where("not held"), *x), n, hot)
+        return Model(chain, w, *calibrated(_summed(known.where("held"), _spectrum, w))), rows.where("obs_id is not null").select("obs_id", "field_name", "features")
+
+
+def scanned(observations: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
     """(obs_id, field_name, n_secrets, score, masked) of every field that holds a credential."""
     texts = _fields(observations, names)
-    model = observations.sparkSession.sparkContext.broadcast(trained(texts))
-    schema = "obs_id string, field_name string, n_secrets int, score double" + ", masked string" * with_text
+    model = observations.sparkSession.sparkContext.broadcast(trained(texts)[0])
+    schema = "obs_id string, field_name string, n_secrets int, score double, masked string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -420,7 +608,7 @@ def scanned(observations: DataFrame, names: tuple[str, ...] = FIELDS, with_text:
                 if found:
                     rows.append((o, name, len(found), max(p for _, _, p in found), masked(text, found)))
             if rows:
-                cols = list(zip(*rows))[: 4 + with_text]
+                cols = list(zip(*rows))
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -428,4 +616,17 @@ def scanned(observations: DataFrame, names: tuple[str, ...] = FIELDS, with_text:
 
 
 def found(observations: DataFrame) -> DataFrame:
-    return scanned(observations, with_text=False).select("obs_id", "field_name").distinct()
+    """Fields that hold a credential: a candidate that reaches THRESHOLD is one, or lies in another one."""
+    model, rows = trained(_fields(observations, FIELDS))
+    sent = observations.sparkSession.sparkContext.broadcast((model.weights, model.scale))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, (a, b) = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                f = batch.column("features").to_pylist()
+                z = a * np.array([w[np.frombuffer(x, np.uint16)].sum() for x in f]) + b
+                hit = 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD
+                yield batch.select(["obs_id", "field_name"]).filter(pa.array(hit))
+
+    return rows.mapInArrow(score, "obs_id string, field_name string").distinct()

@@ -111,6 +111,22 @@ def test_credentials_model_is_right_on_held_out_labels():
     assert m.held_out["precision"] > 0.95 and m.held_out["recall"] > 0.95
 
 
+def test_credentials_model_is_fitted_on_all_texts(spark, monkeypatch):
+    """Whatever bounds there are, the model over a table is that of all its texts, in any order and partitions."""
+    for name, most in (("SAMPLE", 50), ("SAMPLE_BYTES", 5000), ("LONGEST", 60)):
+        monkeypatch.setattr(credentials, name, most, raising=False)
+    rows, _ = secrets_table()
+    rows = [r for r in rows if r[0]]
+    rows[5] = ("long", "Bash", "line of words\n" * 6000 + "API_KEY=Gq3xWvTrLbHs8dNfZpYc2jRt", None, None)
+    whole = credentials.fit([(t, r[1]) for r in rows for t in r[2:] if t])
+    for parts in (1, 5):
+        table = spark.createDataFrame(rows[::-1], OBS).repartition(parts)
+        got = credentials.trained(credentials._fields(table, credentials.FIELDS))
+        m = got[0] if isinstance(got, tuple) else got
+        assert m.held_out == whole.held_out and m.scale == whole.scale
+        assert (m.weights == whole.weights).all() and (m.chain.table == whole.chain.table).all()
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
